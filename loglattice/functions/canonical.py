@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,34 +117,45 @@ def java_replacement(replacement: str) -> str:
     return "".join(out)
 
 
-def apply_rule(text: Column, rule: Rule) -> Column:
-    """One guarded replacement. Reference `text` from a lambda or a plain column: it is used up to three times."""
-    replaced = F.regexp_replace(
-        text, F.lit(JAVA_FLAGS + rule.pattern), F.lit(java_replacement(rule.replacement))
+def sql_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rule_sql(rule: Rule, text: str = "t") -> str:
+    """One guarded replacement of the SQL name `text`."""
+    replaced = (
+        f"regexp_replace({text}, {sql_literal(JAVA_FLAGS + rule.pattern)}, "
+        f"{sql_literal(java_replacement(rule.replacement))})"
     )
-    guard = None
+    guards = []
     if rule.literal is not None:
-        guard = text.contains(rule.literal)
+        guards.append(f"contains({text}, {sql_literal(rule.literal)})")
     if rule.probe is not None:
-        probe = text.rlike(JAVA_FLAGS + rule.probe)
-        guard = probe if guard is None else guard & probe
-    return replaced if guard is None else F.when(guard, replaced).otherwise(text)
+        guards.append(f"{text} RLIKE {sql_literal(JAVA_FLAGS + rule.probe)}")
+    return f"CASE WHEN {' AND '.join(guards)} THEN {replaced} ELSE {text} END" if guards else replaced
 
 
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(STRIP_CHARS))
+@cache
+def _chain_sql(rules: tuple[Rule, ...]) -> str:
+    chain = "array(m)"
+    for rule in rules:
+        chain = f"transform({chain}, t -> {rule_sql(rule)})"
+    return f"m -> btrim(get({chain}, 0), {sql_literal(STRIP_CHARS)})"
 
 
-def canonicalize(text: Column, version: str = DEFAULT_VERSION) -> Column:
-    """Canonical form of a message; null stays null."""
-    holder = F.array(text)
-    for rule in rules_for(version):
-        holder = _step(holder, rule)
-    return strip(F.get(holder, F.lit(0)))
+def apply_to_each(texts: Column, function_sql: str) -> Column:
+    """transform() with the lambda given as SQL: one call to the JVM, however long the lambda."""
+    return F.call_function("transform", texts, F.expr(function_sql))
 
 
-def _step(holder: Column, rule: Rule) -> Column:
-    return F.transform(holder, lambda t: apply_rule(t, rule))
+def bind(value: Column, function_sql: str) -> Column:
+    """Evaluate a SQL lambda on one value, computed once however often the lambda uses it."""
+    return F.get(apply_to_each(F.array(value), function_sql), F.lit(0))
+
+
+def canonicalize(text: Column, version: str = DEFAULT_VERSION) -> Column:
+    """Canonical form of a message; null stays null."""
+    return bind(text, _chain_sql(rules_for(version)))
 
 
 def canon_hash(canonical: Column, service: Column, level: Column) -> Column:
@@ -159,7 +171,7 @@ def text_hash(canonical: Column) -> Column:
 
 def template_key(message: Column, service: Column, level: Column, version: str = DEFAULT_VERSION) -> Column:
     """Struct of canonical text, template hash and rule version."""
-    pair = F.transform(
+    keyed = F.transform(
         F.array(canonicalize(message, version)),
         lambda c: F.struct(
             c.alias("canonical_text"),
@@ -167,4 +179,4 @@ def template_key(message: Column, service: Column, level: Column, version: str =
             F.lit(version).alias("canon_version"),
         ),
     )
-    return F.get(pair, F.lit(0))
+    return F.get(keyed, F.lit(0))

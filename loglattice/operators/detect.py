@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import JAVA_FLAGS
 from ..schemas import EVENT_COLUMNS, LEVELS, check_range
+from .noise import first_match
 from .predicates import TimeLike, conjunction, event_predicate, instant
 
 SEVERE = LEVELS[LEVELS.index("ERROR"):]
-N = F.count(F.lit(1))
 
 # Our definition: message patterns of failures that need no baseline, first match wins.
 CATASTROPHES = (
@@ -25,6 +24,10 @@ CATASTROPHES = (
 )
 
 
+def rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def _grid(unit: str) -> Column:
     return F.date_trunc(unit, "timestamp")
 
@@ -69,7 +72,7 @@ def new_error_templates(templates: DataFrame, since: TimeLike) -> DataFrame:
 def template_anomalies(templated: DataFrame, *, history: int = 7, sigmas: float = 2.0,
                        min_history: int = 3) -> DataFrame:
     """Template-days whose count leaves the band of mean +- `sigmas` over the previous observed days."""
-    days = templated.groupBy("template_hash", F.to_date("timestamp").alias("day")).agg(N.alias("n"))
+    days = templated.groupBy("template_hash", F.to_date("timestamp").alias("day")).agg(rows().alias("n"))
     frame = Window.partitionBy("template_hash").orderBy("day").rowsBetween(-history, -1)
     scored = days.select(
         "template_hash", "day", "n",
@@ -95,10 +98,7 @@ def silences(events: DataFrame, as_of: TimeLike) -> DataFrame:
 
 
 def catastrophe(text: Column) -> Column:
-    case = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, pattern in CATASTROPHES:
-        case = case.when(text.rlike(JAVA_FLAGS + pattern), F.lit(name))
-    return case
+    return first_match(text, CATASTROPHES)
 
 
 def catastrophes(templates: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def cooldown(alerts: DataFrame, *, key: str, minutes: int) -> DataFrame:
     The fold runs over distinct minutes: a list as long as the time range, however many alerts.
     """
     check_range("minutes", minutes, 1)
-    slots = alerts.groupBy(key, _minute(F.col("timestamp")).alias("minute")).agg(N.alias("n"))
+    slots = alerts.groupBy(key, _minute(F.col("timestamp")).alias("minute")).agg(rows().alias("n"))
     nothing = F.array().cast("array<bigint>")
     fired = F.aggregate(
         F.array_sort("slots"),
@@ -158,7 +158,7 @@ def context_bundle(incidents: DataFrame, templated: DataFrame, *, minutes: int =
     slot = lambda m: F.floor(m / minutes).cast("bigint")
     counts = (
         templated.groupBy("service", "template_hash", _minute(F.col("timestamp")).alias("minute"))
-        .agg(N.alias("n"))
+        .agg(rows().alias("n"))
         .withColumn("slot", slot(F.col("minute")))
     )
     asked = incidents.select(
@@ -181,7 +181,7 @@ def service_overview(templated: DataFrame, as_of: TimeLike, hours: int = 24) ->
     end = instant(as_of)
     recent = templated.filter((F.col("timestamp") > end - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("timestamp") <= end))
     # one row per service, host and template: the distinct counts below then see few rows
-    grid = recent.groupBy("service", "host", "template_hash", "level").agg(N.alias("n"), F.max("timestamp").alias("last"))
+    grid = recent.groupBy("service", "host", "template_hash", "level").agg(rows().alias("n"), F.max("timestamp").alias("last"))
     return grid.groupBy("service").agg(
         F.sum("n").alias("events"),
         F.coalesce(F.sum(F.when(F.col("level").isin(*SEVERE), F.col("n"))), F.lit(0)).alias("errors"),

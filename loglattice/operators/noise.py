@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.canonical import JAVA_FLAGS
+from ..functions.canonical import JAVA_FLAGS, bind, sql_literal
 
 
 class NoiseConfigError(ValueError):
@@ -100,25 +100,28 @@ DEFAULT_CONFIG: dict[str, Any] = {
 }
 
 
-def matches(message: Column, rule: NoiseRule) -> Column:
-    return message.rlike(JAVA_FLAGS + rule.pattern)
+def first_match(text: Column, named_patterns: Iterable[tuple[str, str]]) -> Column:
+    """Name of the first pattern found in the text, else null.
+
+    The text is bound once, so a computed message is not evaluated again for every pattern.
+    """
+    arms = " ".join(
+        f"WHEN m RLIKE {sql_literal(JAVA_FLAGS + pattern)} THEN {sql_literal(name)}" for name, pattern in named_patterns
+    )
+    return bind(text, f"m -> CASE {arms} END") if arms else F.lit(None).cast("string")
 
 
 def drop_reason(
     config: NoiseConfig, level: Column | None = None, service: Column | None = None, message: Column | None = None
 ) -> Column:
-    """Name of the first matching rule, null for a kept record; one CASE, so later patterns cost nothing."""
+    """Name of the first matching rule; null for a kept record, whose protected ones see no pattern at all."""
     if not config.enabled or not config.drop_patterns:
         return F.lit(None).cast("string")
     level = F.coalesce(F.col("level") if level is None else level, F.lit("INFO"))
     service = F.coalesce(F.col("service") if service is None else service, F.lit(""))
-    message = F.col("message") if message is None else message
-    kept = F.lit(None).cast("string")
+    message = F.coalesce(F.col("message") if message is None else message, F.lit(""))
     protected = level.isin(*sorted(config.always_keep_levels)) | service.isin(*sorted(config.always_keep_services))
-    case = F.when(protected, kept)
-    for rule in config.drop_patterns:
-        case = case.when(matches(message, rule), F.lit(rule.name))
-    return case
+    return F.when(~protected, first_match(message, [(r.name, r.pattern) for r in config.drop_patterns]))
 
 
 def classify(events: DataFrame, config: NoiseConfig) -> DataFrame:

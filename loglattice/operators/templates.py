@@ -15,8 +15,11 @@ KEYS = ["template_hash", "service", "level", "canonical_text", "canon_version"]
 def with_template(events: DataFrame, version: str = DEFAULT_VERSION) -> DataFrame:
     """Add canonical_text, canon_version and template_hash. Linking needs no lookup: the hash is the key."""
     canonical = events.withColumn("canonical_text", canonicalize(F.col("message"), version))
+    key = canon_hash(F.col("canonical_text"), F.col("service"), F.col("level"))
+    # Validated records have no null field. Saying so keeps a join on the key from adding a null
+    # filter, which would be pushed below and run all rules a second time.
     return canonical.withColumn("canon_version", F.lit(version)).withColumn(
-        "template_hash", canon_hash(F.col("canonical_text"), F.col("service"), F.col("level"))
+        "template_hash", F.coalesce(key, F.lit(""))
     )
 
 

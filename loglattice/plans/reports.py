@@ -7,12 +7,10 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import JAVA_FLAGS
-from ..operators.noise import NoiseConfig, drop_reason
+from ..operators.noise import NoiseConfig, drop_reason, first_match
 from ..schemas import LEVELS, check_range
 from .query import latest
 
-N = F.count(F.lit(1))
 MICROS = 1_000_000
 
 # Our definition: message patterns that make a record worth reading, first match wins.
@@ -26,17 +24,21 @@ SIGNAL_CATEGORIES = (
 )
 
 
+def rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(part * F.lit(100.0), whole), digits)
 
 
 def noisiest_services(events: DataFrame, n: int = 20) -> DataFrame:
     check_range("n", n, 1)
-    return events.groupBy("service").agg(N.alias("n")).orderBy(F.col("n").desc(), "service").limit(n)
+    return events.groupBy("service").agg(rows().alias("n")).orderBy(F.col("n").desc(), "service").limit(n)
 
 
 def level_distribution(events: DataFrame) -> DataFrame:
-    counts = events.groupBy("level").agg(N.alias("n"))
+    counts = events.groupBy("level").agg(rows().alias("n"))
     # at most one row per level here
     return counts.withColumn("pct", percent(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))
 
@@ -46,7 +48,7 @@ def latest_logs(events: DataFrame, n: int = 10) -> DataFrame:
 
 
 def daily_volume(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.to_date("timestamp").alias("day")).agg(N.alias("n"))
+    return events.groupBy(F.to_date("timestamp").alias("day")).agg(rows().alias("n"))
 
 
 def daily_average(events: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def daily_average(events: DataFrame) -> DataFrame:
 
 def hourly_volume(events: DataFrame) -> DataFrame:
     """Average, minimum and maximum rows per hour, for each day."""
-    hours = events.groupBy(F.date_trunc("hour", "timestamp").alias("hour")).agg(N.alias("n"))
+    hours = events.groupBy(F.date_trunc("hour", "timestamp").alias("hour")).agg(rows().alias("n"))
     return hours.groupBy(F.to_date("hour").alias("day")).agg(
         F.round(F.avg("n"), 2).alias("avg_n"), F.min("n").alias("min_n"), F.max("n").alias("max_n")
     )
@@ -65,7 +67,7 @@ def hourly_volume(events: DataFrame) -> DataFrame:
 
 def service_share(events: DataFrame, top: int = 4) -> DataFrame:
     """The `top` busiest services by name, all others as one row."""
-    counts = events.groupBy("service").agg(N.alias("n"))
+    counts = events.groupBy("service").agg(rows().alias("n"))
     # `top` rows
     leaders = counts.orderBy(F.col("n").desc(), "service").limit(top).select("service", F.col("service").alias("label"))
     labelled = counts.join(F.broadcast(leaders), "service", "left")
@@ -125,16 +127,13 @@ def data_gaps(events: DataFrame, threshold: timedelta, by: str | None = None, ch
 
 def compression_ratio(templates: DataFrame) -> DataFrame:
     """Events per template, from the dimension alone."""
-    return templates.agg(F.sum("event_count").alias("events"), N.alias("templates")).withColumn(
+    return templates.agg(F.sum("event_count").alias("events"), rows().alias("templates")).withColumn(
         "ratio", F.round(F.try_divide(F.col("events") * F.lit(1.0), F.col("templates")), 2)
     )
 
 
 def signal_category(message: Column) -> Column:
-    case = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, pattern in SIGNAL_CATEGORIES:
-        case = case.when(message.rlike(JAVA_FLAGS + pattern), F.lit(name))
-    return case
+    return first_match(message, SIGNAL_CATEGORIES)
 
 
 def signal_class(config: NoiseConfig) -> Column:
@@ -149,7 +148,7 @@ def signal_class(config: NoiseConfig) -> Column:
 
 def noise_breakdown(events: DataFrame, config: NoiseConfig) -> DataFrame:
     """Rows per rule and their share of all rows; kept rows appear as `(kept)`."""
-    counts = events.groupBy(F.coalesce(drop_reason(config), F.lit("(kept)")).alias("rule")).agg(N.alias("n"))
+    counts = events.groupBy(F.coalesce(drop_reason(config), F.lit("(kept)")).alias("rule")).agg(rows().alias("n"))
     # one row per rule
     return counts.withColumn("pct", percent(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))
 
@@ -173,7 +172,7 @@ def signal_breakdown(events: DataFrame) -> DataFrame:
         events.select(signal_category(F.col("message")).alias("category"))
         .filter(F.col("category").isNotNull())
         .groupBy("category")
-        .agg(N.alias("n"))
+        .agg(rows().alias("n"))
     )
 
 
@@ -183,7 +182,7 @@ def what_if(events: DataFrame, config: NoiseConfig, samples: int = 3) -> DataFra
     tagged = events.select(
         F.coalesce(drop_reason(config), F.lit("(kept)")).alias("outcome"), "id", "timestamp", "service", "message"
     )
-    counts = tagged.groupBy("outcome").agg(N.alias("n"))
+    counts = tagged.groupBy("outcome").agg(rows().alias("n"))
     newest = Window.partitionBy("outcome").orderBy(F.col("timestamp").desc(), F.col("id").desc())
     examples = tagged.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= samples)
     return examples.join(counts, "outcome").select("outcome", "n", "rank", "id", "service", "message")
@@ -203,10 +202,10 @@ def growth_projection(
 
 
 def logs_per_host(events: DataFrame) -> DataFrame:
-    return events.groupBy("host").agg(N.alias("n"))
+    return events.groupBy("host").agg(rows().alias("n"))
 
 
 def embedding_coverage(df: DataFrame, column: str = "embedding_vector") -> DataFrame:
     return df.agg(
-        N.alias("total"), F.count(column).alias("embedded"), F.count_if(F.col(column).isNull()).alias("missing")
+        rows().alias("total"), F.count(column).alias("embedded"), F.count_if(F.col(column).isNull()).alias("missing")
     ).withColumn("pct", percent(F.col("embedded"), F.col("total")))

@@ -65,9 +65,9 @@ def purge(store: LogStore, as_of: datetime, days: int = DEFAULT_DAYS, dry_run: b
     edge_tags = store.children(edge_folder)
     if edge_tags and cutoff.time() != datetime.min.time():
         edge = surviving_events(store.events().filter(F.col("event_date") == F.lit(boundary).cast("date")), cutoff)
-        store.write_events(edge)
-        # the write replaced folders with survivors; those without one (a batch name each) are dropped
+        # batch names of one day; taken before the write replaces the files behind them
         surviving = {f"{TAG}={r[0]}" for r in edge.select(TAG).distinct().collect()}
+        store.write_events(edge)
         for name in set(edge_tags) - surviving:
             store.drop_folder(f"{edge_folder}/{name}")
     for name in store.children(store.events_path):

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -20,17 +20,30 @@ from ..session import within_rows
 VECTOR = "embedding_vector"
 
 
-def query_vector(spark, text: str, embed: Callable[[Column], Column], version: str | None = DEFAULT_VERSION) -> Column:
-    """Unit vector of a query text as a scalar subquery; canonicalised first unless version is None."""
+def _unit_literal(one_row: DataFrame) -> Column:
+    """The single vector of a one-row frame as a constant: the one value the driver ever holds."""
+    row = one_row.first()
+    if row is None or row[0] is None:
+        raise ValueError("no query vector")
+    size = sum(float(x) ** 2 for x in row[0]) ** 0.5
+    if size == 0:
+        raise ValueError("the query vector is zero")
+    return V.literal([float(x) / size for x in row[0]])
+
+
+def query_vector(
+    spark: SparkSession, text: str, embed: Callable[[Column], Column], version: str | None = DEFAULT_VERSION
+) -> Column:
+    """Unit vector of a query text; canonicalised first unless version is None."""
     row = spark.range(1).select(F.lit(text).alias("text"))
     if version is not None:
         row = row.select(canonicalize(F.col("text"), version).alias("text"))
-    return row.select(embed(F.col("text")).alias("v")).select(V.unit(F.col("v"))).scalar()
+    return _unit_literal(row.select(embed(F.col("text"))))
 
 
 def stored_vector(table: DataFrame, condition: Column, column: str = VECTOR) -> Column:
-    """Unit vector of one stored row as a scalar subquery."""
-    return table.filter(condition).limit(1).select(V.unit(F.col(column))).scalar()
+    """Unit vector of one stored row."""
+    return _unit_literal(table.filter(condition).select(column).limit(1))
 
 
 def nearest(df: DataFrame, unit_query: Column, k: int, *, column: str = VECTOR, id_column: str = "id") -> DataFrame:

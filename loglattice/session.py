@@ -18,6 +18,31 @@ RECOMMENDED = {
 }
 
 
+# Can only be given when the session is built.
+STATIC = {
+    # no Python call site per column expression: building a plan takes a fraction of the time
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def local_session(name: str, cores: int, memory: str = "8g") -> SparkSession:
+    """Session for tests and benchmarks on one machine."""
+    builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
+    settings = {
+        **RECOMMENDED,
+        **STATIC,
+        "spark.sql.shuffle.partitions": str(cores),
+        "spark.driver.memory": memory,
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings the jobs rely on; shuffle width is left to the cluster."""
     for key, value in RECOMMENDED.items():
@@ -34,6 +59,19 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work all cores when the input is too small to be split that far.
+
+    A file smaller than a split is one task. Above cores * split size the scan is wide enough by
+    itself and nothing is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * split else df
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Cut lineage with a table in the shared folder, so a lost executor costs a re-read, not a re-run."""
     spark = df.sparkSession

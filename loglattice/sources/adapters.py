@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import log_hash
@@ -15,103 +15,90 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _say(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
-def _message() -> Column:
-    """A sentence per event type, carrying addresses, pids, durations, sessions and ids made of integers."""
-    n, u = F.col("event_id"), F.col("user_id")
-    pad = lambda c, width: F.lpad(c.cast("string"), width, "0")
-    click = [
-        _say("ts=2024-01-01T00:00:00.", n, "Z caller=table_manager.go:", n % 400,
-             ' msg="uploading tables" duration=', n % 90, "ms"),
-        _say("ts=2024-01-01T00:00:00.", n, "Z caller=table_manager.go:", n % 400,
-             ' msg="syncing tables" duration=', n % 90, "ms"),
-        _say("ts=2024-01-01T00:00:00.", n, "Z caller=compactor.go:", n % 300, ' msg="compacting table" table=index_', n),
-        _say("ts=2024-01-01T00:00:00.", n, "Z caller=checkpoint.go:", n % 200, " msg=done elapsed=", n % 70, ".5s"),
-        _say("ts=2024-01-01T00:00:00.", n, "Z caller=main.go:", n % 100, " msg=starting node=", u),
-        _say("[BATCH] Sending ", n, " logs to API"),
-    ]
-    signup = [
-        _say("pam_unix(sshd:session): session opened for user u", u, "(uid=", u, ")"),
-        _say("session-", n, ".scope: Consumed ", n % 60, ".", n % 10, "s CPU time."),
-        _say("CRON[", n, "]: (root) CMD (/usr/local/bin/backup.sh ", u, ")"),
-        _say("veth", pad(n % 9000 + 1000, 7), ": Link UP"),
-    ]
-    error = [
-        _say("connection refused by 10.0.", u % 200, ".", n % 250, ":8080 pid=", n + 1000, " request ", pad(n, 8),
-             "-0000-4000-8000-", pad(u, 12), " after ", n % 90, ".", n % 10, "s retry ", n % 5),
-        _say("Failed password for user u", u, " from 192.168.", u % 200, ".", n % 250, " port ", n % 50000 + 10000),
-        _say("Out of memory: killed process [ ", n, "] after ", n % 600, " seconds"),
-        _say("write failed: No space left on device, offset ", n + 100000, "   token ", pad(n, 24)),
-    ]
-    ufw = _say(
-        "[UFW BLOCK] IN=ens5 OUT= MAC=01:23:45:67:89:ab:01:23:45:67:89:ab:08:00 SRC=192.168.", u % 200, ".", n % 250,
-        " DST=10.0.0.", u % 250, " LEN=", n % 1400 + 40, " TTL=", n % 64, " ID=", n, " PROTO=TCP SPT=", n % 60000,
-        " DPT=", u % 1024,
-    )
-    gin = _say("[GIN] 2024/01/01 - 12:00:00 | ", n % 3 * 100 + 200, " |   ", n % 900, ".", n % 10, "ms |  10.0.0.",
-               n % 250, ' | GET "/items"')
-
-    def choose(options: list[Column], by: Column) -> Column:
-        case = F.when(by % len(options) == 0, options[0])
-        for i, option in enumerate(options[1:], 1):
-            case = case.when(by % len(options) == i, option)
-        return case
-
-    kind = F.col("event_type")
-    return (
-        F.when(kind == "click", choose(click, n))
-        .when(kind == "signup", choose(signup, n))
-        .when(kind == "error", choose(error, n))
-        .when(kind == "purchase", ufw)
-        .otherwise(gin)
-    )
-
-
-def _level() -> Column:
-    kind = F.col("event_type")
-    return (
-        F.when(kind == "error", "ERROR").when(kind == "purchase", "WARN").when(kind == "view", "DEBUG").otherwise("INFO")
-    )
+# The messages carry addresses, pids, durations, sessions and ids, all made of integers (n: event, u: user).
+_LOKI = "'ts=2024-01-01T00:00:00.' || n || 'Z caller="
+_CLICK = (
+    _LOKI + """table_manager.go:' || n % 400 || ' msg="uploading tables" duration=' || n % 90 || 'ms'""",
+    _LOKI + """table_manager.go:' || n % 400 || ' msg="syncing tables" duration=' || n % 90 || 'ms'""",
+    _LOKI + """compactor.go:' || n % 300 || ' msg="compacting table" table=index_' || n""",
+    _LOKI + """checkpoint.go:' || n % 200 || ' msg=done elapsed=' || n % 70 || '.5s'""",
+    _LOKI + """main.go:' || n % 100 || ' msg=starting node=' || u""",
+    "'[BATCH] Sending ' || n || ' logs to API'",
+)
+_SIGNUP = (
+    "'pam_unix(sshd:session): session opened for user u' || u || '(uid=' || u || ')'",
+    "'session-' || n || '.scope: Consumed ' || n % 60 || '.' || n % 10 || 's CPU time.'",
+    "'CRON[' || n || ']: (root) CMD (/usr/local/bin/backup.sh ' || u || ')'",
+    "'veth' || lpad(string(n % 9000 + 1000), 7, '0') || ': Link UP'",
+)
+_ERROR = (
+    "'connection refused by 10.0.' || u % 200 || '.' || n % 250 || ':8080 pid=' || (n + 1000) || ' request '"
+    " || lpad(string(n), 8, '0') || '-0000-4000-8000-' || lpad(string(u), 12, '0')"
+    " || ' after ' || n % 90 || '.' || n % 10 || 's retry ' || n % 5",
+    "'Failed password for user u' || u || ' from 192.168.' || u % 200 || '.' || n % 250 || ' port ' || (n % 50000 + 10000)",
+    "'Out of memory: killed process [ ' || n || '] after ' || n % 600 || ' seconds'",
+    "'write failed: No space left on device, offset ' || (n + 100000) || '   token ' || lpad(string(n), 24, '0')",
+)
+_FIREWALL = (
+    "'[UFW BLOCK] IN=ens5 OUT= MAC=01:23:45:67:89:ab:01:23:45:67:89:ab:08:00 SRC=192.168.' || u % 200 || '.' || n % 250"
+    " || ' DST=10.0.0.' || u % 250 || ' LEN=' || (n % 1400 + 40) || ' TTL=' || n % 64 || ' ID=' || n"
+    " || ' PROTO=TCP SPT=' || n % 60000 || ' DPT=' || u % 1024"
+)
+_ACCESS = (
+    "'[GIN] 2024/01/01 - 12:00:00 | ' || (n % 3 * 100 + 200) || ' |   ' || n % 900 || '.' || n % 10"
+    " || 'ms |  10.0.0.' || n % 250 || ' | GET \"/items\"'"
+)
+
+
+def _choose(options: tuple[str, ...]) -> str:
+    arms = " ".join(f"WHEN {i} THEN {text}" for i, text in enumerate(options))
+    return f"CASE n % {len(options)} {arms} END"
+
+
+_MESSAGE = (
+    f"CASE event_type WHEN 'click' THEN {_choose(_CLICK)} WHEN 'signup' THEN {_choose(_SIGNUP)} "
+    f"WHEN 'error' THEN {_choose(_ERROR)} WHEN 'purchase' THEN {_FIREWALL} ELSE {_ACCESS} END"
+)
+_LEVEL = (
+    "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END"
+)
 
 
 def logs(spark: SparkSession, folder: str) -> DataFrame:
-    """The `events` table as log events, every column an expression over its row."""
-    u, n = F.col("user_id"), F.col("event_id")
-    return table(spark, folder, "events").select(
-        n.alias("id"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
-        F.lit("events").alias("source"),
-        _say("svc-", u % 12, ".service").alias("service"),
-        _say("node-", u % 7).alias("host"),
-        _level().alias("level"),
-        F.lpad(F.lower(F.hex(n)), 16, "0").alias("trace_id"),
-        F.lit(None).cast("string").alias("span_id"),
-        F.col("event_type"),
-        F.when(F.col("event_type") == "error", _say("E", n % 5)).alias("error_code"),
-        _message().alias("message"),
-        F.col("props").alias("meta_json"),
+    return events_as_logs(table(spark, folder, "events"))
+
+
+def events_as_logs(events: DataFrame) -> DataFrame:
+    """The `events` table, or a stream of it, as log events; every column is an expression over its row."""
+    named = events.selectExpr("event_id AS n", "user_id AS u", "ts", "event_type", "props")
+    return named.selectExpr(
+        "n AS id",
+        "CAST(ts AS timestamp) AS timestamp",
+        "'events' AS source",
+        "'svc-' || u % 12 || '.service' AS service",
+        "'node-' || u % 7 AS host",
+        f"{_LEVEL} AS level",
+        "lpad(lower(hex(n)), 16, '0') AS trace_id",
+        "CAST(NULL AS string) AS span_id",
+        "event_type",
+        "CASE WHEN event_type = 'error' THEN 'E' || n % 5 END AS error_code",
+        f"{_MESSAGE} AS message",
+        "props AS meta_json",
     )
 
 
 def document_logs(spark: SparkSession, folder: str) -> DataFrame:
     """Real text: each document as one long log message; copies of a text share all hashed fields."""
-    null = F.lit(None).cast("string")
-    return table(spark, folder, "documents").select(
-        (F.col("doc_id") + DOCUMENT_ID_BASE).alias("id"),
-        (F.lit("2024-02-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("n_chars"))).alias("timestamp"),
-        F.lit("documents").alias("source"),
-        _say("doc-", F.col("lang")).alias("service"),
-        F.lit("docs").alias("host"),
-        F.lit("INFO").alias("level"),
-        null.alias("trace_id"),
-        null.alias("span_id"),
-        null.alias("event_type"),
-        null.alias("error_code"),
-        F.col("text").alias("message"),
-        null.alias("meta_json"),
+    return table(spark, folder, "documents").selectExpr(
+        f"doc_id + {DOCUMENT_ID_BASE} AS id",
+        "timestamp'2024-02-01 00:00:00' + make_dt_interval(0, 0, 0, n_chars) AS timestamp",
+        "'documents' AS source",
+        "'doc-' || lang AS service",
+        "'docs' AS host",
+        "'INFO' AS level",
+        *[f"CAST(NULL AS string) AS {c}" for c in ("trace_id", "span_id", "event_type", "error_code")],
+        "text AS message",
+        "CAST(NULL AS string) AS meta_json",
     )
 
 
@@ -127,19 +114,15 @@ def with_hash(events: DataFrame) -> DataFrame:
 
 def journal_lines(events: DataFrame) -> DataFrame:
     """Events written as journald JSON lines, one per row."""
-    priority = (
-        F.when(F.col("level") == "ERROR", "3").when(F.col("level") == "WARN", "4").when(F.col("level") == "DEBUG", "7")
-    )
-    record = F.struct(
-        F.unix_micros("timestamp").cast("string").alias("__REALTIME_TIMESTAMP"),
-        F.concat(F.lit("s="), F.col("id").cast("string")).alias("__CURSOR"),
-        F.when(F.col("id") % 3 != 0, F.col("service")).alias("_SYSTEMD_UNIT"),
-        F.when(F.col("id") % 5 != 0, F.lit("cron")).alias("SYSLOG_IDENTIFIER"),
-        F.col("message").alias("MESSAGE"),
-        priority.alias("PRIORITY"),
-        F.when(F.col("id") % 4 != 0, F.col("id").cast("string")).alias("_PID"),
-        F.when(F.col("id") % 8 == 1, F.lit("worker")).alias("_COMM"),
-        F.when(F.col("id") % 4 == 2, F.lit("3")).alias("SYSLOG_FACILITY"),
-        F.when(F.col("id") % 4 != 0, F.col("host")).alias("_HOSTNAME"),
-    )
-    return events.select(F.to_json(record).alias("value"))
+    record = """named_struct(
+        '__REALTIME_TIMESTAMP', string(unix_micros(timestamp)),
+        '__CURSOR', 's=' || id,
+        '_SYSTEMD_UNIT', CASE WHEN id % 3 <> 0 THEN service END,
+        'SYSLOG_IDENTIFIER', CASE WHEN id % 5 <> 0 THEN 'cron' END,
+        'MESSAGE', message,
+        'PRIORITY', CASE level WHEN 'ERROR' THEN '3' WHEN 'WARN' THEN '4' WHEN 'DEBUG' THEN '7' END,
+        '_PID', CASE WHEN id % 4 <> 0 THEN string(id) END,
+        '_COMM', CASE WHEN id % 8 = 1 THEN 'worker' END,
+        'SYSLOG_FACILITY', CASE WHEN id % 4 = 2 THEN '3' END,
+        '_HOSTNAME', CASE WHEN id % 4 <> 0 THEN host END)"""
+    return events.selectExpr(f"to_json({record}) AS value")
