@@ -20,7 +20,7 @@ from .operators import dedup, detect, graph, noise, predicates, validate
 from .operators import templates as tpl
 from .plans import backfill, ingest, query, reports, retention, search
 from .schemas import EVENT_COLUMNS, LOG_EVENTS, LOG_TEMPLATES, conform, write_present
-from .session import shared_dir, spread, tune
+from .session import materialise, shared_dir, spread, tune
 from .sources import adapters, deadletter, journald
 from .sources.adapters import all_logs, document_logs, logs, table
 from .sources.tables import LogStore
@@ -78,6 +78,17 @@ def templated(spark, folder, source=logs) -> DataFrame:
     return tpl.with_template(spread(source(spark, folder)))
 
 
+def stored_dimension(spark, folder, source=logs) -> DataFrame:
+    """The template dimension as a table, as ingest leaves it."""
+    return materialise(tpl.build_templates(spread(source(spark, folder))), "dimension")
+
+
+def stored_logs(spark, folder) -> DataFrame:
+    """Logs linked to their templates, as a table."""
+    linked = templated(spark, folder).withColumn("template_id", F.col("template_hash"))
+    return materialise(linked, "linked-logs")
+
+
 def partly_linked(spark, folder) -> DataFrame:
     """Logs of which every seventh is not linked to its template yet."""
     t = templated(spark, folder)
@@ -321,8 +332,9 @@ def template_dense_ids(spark, folder):
 
 @query_of
 def recent_examples(spark, folder):
-    events = templated(spark, folder).withColumn("template_id", F.col("template_hash"))
-    keys = tpl.build_templates(spread(logs(spark, folder))).filter("level = 'ERROR'").select(F.col("template_hash").alias("template_id"))
+    events = stored_logs(spark, folder)
+    keys = tpl.roll_up(tpl.host_counts(events)).filter("level = 'ERROR'").select("template_hash")
+    keys = keys.withColumnRenamed("template_hash", "template_id")
     return tpl.recent_examples(events, keys, 3).select("template_id", "recency", "id", "message")
 
 
@@ -416,7 +428,7 @@ def backfill_stored(spark, folder):
 @query_of
 def embed_missing_texts(spark, folder):
     """Vectors for the canonical texts that have none yet, as non-zero components."""
-    dimension = tpl.build_templates(spread(all_logs(spark, folder)))
+    dimension = stored_dimension(spark, folder, all_logs)
     have = dimension.filter(F.col("level") == "ERROR").select("canon_hash").distinct()
     new = backfill.embed_missing(dimension, have, V.hashed_bag_of_words(), "hashed-bow-64")
     parts = new.select("canon_hash", F.posexplode("embedding_vector").alias("pos", "x")).filter("x <> 0")
@@ -487,8 +499,9 @@ def search_logs(spark, folder):
 def search_templates(spark, folder):
     """Templates nearest to a query text, with their newest events, one row per example."""
     embed = V.hashed_bag_of_words()
-    events = templated(spark, folder).withColumn("template_id", F.col("template_hash"))
-    dimension = tpl.build_templates(spread(logs(spark, folder))).withColumn("embedding_vector", embed(F.col("canonical_text")))
+    events = stored_logs(spark, folder)
+    dimension = tpl.roll_up(tpl.host_counts(events))
+    dimension = materialise(dimension.withColumn("embedding_vector", embed(F.col("canonical_text"))), "dimension")
     unit = search.query_vector(spark, SEARCH_TEXT, embed)
     hits = search.search_templates(dimension, events, unit, limit=10, examples=3)
     return hits.select(
@@ -623,12 +636,12 @@ def report_noise(spark, folder):
 
 @query_of
 def report_signal_share(spark, folder):
-    return reports.signal_to_noise(all_logs(spark, folder), config())
+    return reports.signal_to_noise(spread(all_logs(spark, folder)), config())
 
 
 @query_of
 def report_signals(spark, folder):
-    return reports.signal_breakdown(all_logs(spark, folder))
+    return reports.signal_breakdown(spread(all_logs(spark, folder)))
 
 
 @query_of
@@ -663,7 +676,7 @@ def detect_error_spikes(spark, folder):
 
 @query_of
 def detect_new_error_templates(spark, folder):
-    dimension = tpl.build_templates(spread(logs(spark, folder)))
+    dimension = stored_dimension(spark, folder)
     return detect.new_error_templates(dimension, "2024-01-02 00:00:00").select("template_hash", "service", "first_seen")
 
 
@@ -680,7 +693,7 @@ def detect_silence(spark, folder):
 
 @query_of
 def detect_catastrophes(spark, folder):
-    return detect.catastrophes(tpl.build_templates(spread(all_logs(spark, folder)))).groupBy("kind", "service").agg(
+    return detect.catastrophes(stored_dimension(spark, folder, all_logs)).groupBy("kind", "service").agg(
         F.count(F.lit(1)).alias("templates"), F.sum("event_count").alias("events")
     )
 

@@ -16,13 +16,14 @@ def with_identity(events: DataFrame) -> DataFrame:
     return hashed.withColumn("id", F.coalesce(F.col("id"), hash_to_id(F.col("log_hash"))))
 
 
-def first_of_each(events: DataFrame, key: str = "log_hash") -> DataFrame:
+def first_of_each(events: DataFrame, keys: tuple[str, ...] = ("event_date", "log_hash")) -> DataFrame:
     """One record per key, the lowest id wins.
 
     The rank filter becomes a group limit that runs before the shuffle as well as after it, so
-    however many copies a key has, each task sends at most one of them.
+    however many copies a key has, each task sends at most one of them. The keys are those of the
+    join with the stored events, which then needs no further shuffle or sort on this side.
     """
-    order = Window.partitionBy(key).orderBy(F.col("id").asc_nulls_last(), F.xxhash64(*events.columns))
+    order = Window.partitionBy(*keys).orderBy(F.col("id").asc_nulls_last(), F.xxhash64(*events.columns))
     return events.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
 
 

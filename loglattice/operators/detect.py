@@ -37,6 +37,25 @@ def _minute(ts: Column) -> Column:
     return F.floor(F.unix_seconds(ts) / 60).cast("bigint")
 
 
+def _window_sums(value: str, frame) -> dict[str, Column]:
+    """Count, sum and sum of squares of whole numbers over a frame: exact, so thresholds never wobble."""
+    x = F.col(value)
+    return {
+        "seen": F.count(x).over(frame),
+        "s1": F.coalesce(F.sum(x).over(frame), F.lit(0)),
+        "s2": F.coalesce(F.sum(x * x).over(frame), F.lit(0)),
+    }
+
+
+def _spread2() -> Column:
+    """seen^2 * variance, a whole number."""
+    return F.col("seen") * F.col("s2") - F.col("s1") * F.col("s1")
+
+
+def _sigma() -> Column:
+    return F.try_divide(F.sqrt(_spread2().cast("double")), F.col("seen"))
+
+
 def error_spikes(events: DataFrame, *, alpha: float = 0.3, history: int = 12, sigmas: float = 2.0,
                  min_history: int = 6) -> DataFrame:
     """Service-hours whose error count exceeds the moving average by `sigmas` deviations.
@@ -56,12 +75,11 @@ def error_spikes(events: DataFrame, *, alpha: float = 0.3, history: int = 12, si
     scored = hours.select(
         "service", "hour", "errors",
         F.try_divide(weighted, weight).alias("ewma"),
-        F.stddev_pop("errors").over(frame).alias("sigma"),
-        F.count("errors").over(frame).alias("seen"),
-    )
+        *[c.alias(n) for n, c in _window_sums("errors", frame).items()],
+    ).withColumn("sigma", _sigma())
     return scored.filter(
         (F.col("seen") >= min_history) & (F.col("errors") > F.col("ewma") + F.lit(sigmas) * F.col("sigma"))
-    ).drop("seen")
+    ).drop("seen", "s1", "s2")
 
 
 def new_error_templates(templates: DataFrame, since: TimeLike) -> DataFrame:
@@ -74,15 +92,12 @@ def template_anomalies(templated: DataFrame, *, history: int = 7, sigmas: float
     """Template-days whose count leaves the band of mean +- `sigmas` over the previous observed days."""
     days = templated.groupBy("template_hash", F.to_date("timestamp").alias("day")).agg(rows().alias("n"))
     frame = Window.partitionBy("template_hash").orderBy("day").rowsBetween(-history, -1)
-    scored = days.select(
-        "template_hash", "day", "n",
-        F.avg("n").over(frame).alias("mean"),
-        F.stddev_pop("n").over(frame).alias("sigma"),
-        F.count("n").over(frame).alias("seen"),
-    )
-    return scored.filter(
-        (F.col("seen") >= min_history) & (F.abs(F.col("n") - F.col("mean")) > F.lit(sigmas) * F.col("sigma"))
-    ).drop("seen")
+    scored = days.withColumns(_window_sums("n", frame)).filter(F.col("seen") >= min_history)
+    # |n - mean| > k sigma, multiplied out by seen^2
+    off = F.col("seen") * F.col("n") - F.col("s1")
+    return scored.filter(off * off > F.lit(sigmas * sigmas) * _spread2()).select(
+        "template_hash", "day", "n", F.try_divide(F.col("s1"), F.col("seen")).alias("mean"), _sigma().alias("sigma")
+    )
 
 
 def silences(events: DataFrame, as_of: TimeLike) -> DataFrame:
@@ -161,18 +176,19 @@ def context_bundle(incidents: DataFrame, templated: DataFrame, *, minutes: int =
         .agg(rows().alias("n"))
         .withColumn("slot", slot(F.col("minute")))
     )
-    asked = incidents.select(
-        "incident_id", "service", F.col("minute").alias("at"),
-        F.explode(F.sequence(slot(F.col("minute")) - 1, slot(F.col("minute")) + 1)).alias("slot"),
-    )
+    # incidents of one service and minute share their surroundings, which are worked out once
+    asked = incidents.select("service", F.col("minute").alias("at")).distinct().select(
+        "service", "at", F.explode(F.sequence(slot(F.col("at")) - 1, slot(F.col("at")) + 1)).alias("slot")
+    )
     near = counts.join(asked, ["service", "slot"]).filter(F.abs(F.col("minute") - F.col("at")) <= minutes)
-    totals = near.groupBy("incident_id", "service", "template_hash").agg(F.sum("n").alias("n"))
-    rank = Window.partitionBy("incident_id").orderBy(F.col("n").desc(), "template_hash")
+    totals = near.groupBy("service", "at", "template_hash").agg(F.sum("n").alias("n"))
+    rank = Window.partitionBy("service", "at").orderBy(F.col("n").desc(), "template_hash")
     best = totals.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top)
-    return best.groupBy("incident_id", "service").agg(
+    bundles = best.groupBy("service", F.col("at").alias("minute")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "template_hash", "n"))).alias("templates"),
         F.sum("n").alias("events"),
     )
+    return incidents.select("incident_id", "service", "minute").join(bundles, ["service", "minute"])
 
 
 def service_overview(templated: DataFrame, as_of: TimeLike, hours: int = 24) -> DataFrame:

@@ -206,8 +206,9 @@ def _spikes(alpha: float = 0.3, history: int = 12, sigmas: float = 2.0, min_hist
         bottom = f"({bottom} + CASE WHEN {x} IS NOT NULL THEN {w} ELSE 0.0 END)"
     return f"""WITH {BASE}, h AS (
         SELECT service, date_trunc('hour', timestamp) AS hour, count(*) FILTER (level IN {SEVERE}) AS errors FROM logs GROUP BY ALL),
-      s AS (SELECT service, hour, errors, {top} / nullif({bottom}, 0) AS ewma, stddev_pop(errors) OVER f AS sigma,
-                   count(errors) OVER f AS seen
+      s AS (SELECT service, hour, errors, {top} / nullif({bottom}, 0) AS ewma, count(errors) OVER f AS seen,
+                   sqrt(CAST(count(errors) OVER f * sum(errors * errors) OVER f - sum(errors) OVER f * sum(errors) OVER f AS DOUBLE))
+                     / nullif(count(errors) OVER f, 0) AS sigma
             FROM h WINDOW w AS (PARTITION BY service ORDER BY hour),
                           f AS (PARTITION BY service ORDER BY hour ROWS BETWEEN {history} PRECEDING AND 1 PRECEDING))
       SELECT service, hour, errors, round(ewma, 6) + 0.0 AS ewma, round(sigma, 6) + 0.0 AS sigma FROM s
@@ -434,10 +435,11 @@ def statements() -> dict[str, str]:
     s["detect_new_error_templates"] = f"""WITH {T}, {dimension('d', 't')} SELECT template_hash, service, first_seen FROM d
       WHERE first_seen >= TIMESTAMP '2024-01-02 00:00:00' AND level IN {SEVERE}"""
     s["detect_template_anomalies"] = f"""WITH {T}, d AS (SELECT template_hash, CAST(timestamp AS DATE) AS day, count(*) AS n FROM t GROUP BY ALL),
-      s AS (SELECT template_hash, day, n, avg(n) OVER f AS mean, stddev_pop(n) OVER f AS sigma, count(n) OVER f AS seen FROM d
+      s AS (SELECT template_hash, day, n, count(n) OVER f AS k, sum(n) OVER f AS s1, sum(n * n) OVER f AS s2 FROM d
             WINDOW f AS (PARTITION BY template_hash ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
-      SELECT template_hash, strftime(day, '%Y-%m-%d') AS day, n, round(mean, 6) + 0.0 AS mean, round(sigma, 6) + 0.0 AS sigma FROM s
-      WHERE seen >= 3 AND abs(n - mean) > 2.0 * sigma"""
+      SELECT template_hash, strftime(day, '%Y-%m-%d') AS day, n, round(CAST(s1 AS DOUBLE) / k, 6) + 0.0 AS mean,
+             round(sqrt(CAST(k * s2 - s1 * s1 AS DOUBLE)) / k, 6) + 0.0 AS sigma FROM s
+      WHERE k >= 3 AND (k * n - s1) * (k * n - s1) > 4 * (k * s2 - s1 * s1)"""
     s["detect_silence"] = f"""WITH {BASE}, h AS (SELECT DISTINCT service, date_trunc('hour', timestamp) AS hour FROM logs),
       f AS (SELECT service, min(hour) AS first FROM h GROUP BY service),
       spine AS (SELECT service, unnest(generate_series(first, {END}, INTERVAL 1 HOUR)) AS hour FROM f)
