@@ -89,6 +89,11 @@ def stored_logs(spark, folder) -> DataFrame:
     return materialise(linked, "linked-logs")
 
 
+def shipped_logs(spark, folder) -> DataFrame:
+    """All logs as the files a shipper would leave."""
+    return materialise(spread(all_logs(spark, folder)), "shipped-logs")
+
+
 def partly_linked(spark, folder) -> DataFrame:
     """Logs of which every seventh is not linked to its template yet."""
     t = templated(spark, folder)
@@ -279,7 +284,7 @@ def ingest_outcome(spark, folder):
 def ingest_twice(spark, folder):
     """Two runs over the same logs into a store: the second adds nothing. Counts come from the stored tables."""
     store = LogStore(spark, shared_dir(spark, "ingest"))
-    events = all_logs(spark, folder)
+    events = shipped_logs(spark, folder)
     first = ingest.ingest(events, store, "first", config=config()).counters()
     second = ingest.ingest(events, store, "second", config=config()).counters()
     dimension = store.templates().agg(F.sum("event_count").alias("events"), F.count(F.lit(1)).alias("templates"))
@@ -458,7 +463,7 @@ def fresh_templates(spark, folder):
 def purge_store(spark, folder):
     """Retention on a stored table: expired days go as folders, the boundary day is rewritten."""
     store = LogStore(spark, shared_dir(spark, "purge"))
-    ingest.ingest(all_logs(spark, folder), store, "load")
+    ingest.ingest(shipped_logs(spark, folder), store, "load")
     retention.purge(store, AS_OF, 10)
     left = store.events().agg(F.count(F.lit(1)).alias("events"), F.min("timestamp").alias("oldest"))
     fresh = tpl.roll_up(store.counts()).agg(F.count(F.lit(1)).alias("n"))

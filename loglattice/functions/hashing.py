@@ -8,13 +8,8 @@ from pyspark.sql import functions as F
 
 def timestamp_text(ts: Column) -> Column:
     """UTC text of an instant: micros appear only when non-zero, then the offset."""
-    seconds = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
-    micros = F.date_format(ts, "SSSSSS")
-    return F.concat(
-        seconds,
-        F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)),
-        F.lit("+00:00"),
-    )
+    text = ts.cast("string")  # seconds, then the fraction without its trailing zeros
+    return F.concat(F.when(F.length(text) == 19, text).otherwise(F.rpad(text, 26, "0")), F.lit("+00:00"))
 
 
 def log_hash(timestamp: Column, host: Column, service: Column, message: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import DEFAULT_VERSION
 from ..operators import dedup, noise, templates, validate
+from ..session import materialise
 from ..sources import deadletter
 from ..sources.tables import TAG, LogStore
 
@@ -78,10 +79,19 @@ def ingest(
 
 
 def replay(store: LogStore, tag: str, **options) -> IngestResult:
-    """Ingest the dead letters again under a new tag; what still fails is spooled under that tag."""
-    old_tags = [n for n in store.children(store.dead_letter_path) if n.startswith(f"{TAG}=") and n != f"{TAG}={tag}"]
+    """Ingest the dead letters again under a new tag; what still fails is spooled under that tag.
+
+    The letters are marked as replayed in one small write before their folders are dropped, so a
+    run that dies half-way can be repeated with the same tag and one that finished cannot.
+    """
+    if store.replays().filter(F.col("replayed_by") == tag).limit(1).count():
+        raise ValueError(f"replay {tag!r} has already finished")
     records = store.dead_letters().filter(F.col(TAG) != tag)
-    result = ingest(deadletter.unpack(records), store, tag, **options)
-    for name in old_tags:
-        store.drop_folder(f"{store.dead_letter_path}/{name}")
+    letters = materialise(records, "replay")
+    result = ingest(deadletter.unpack(letters), store, tag, **options)
+    done = letters.select(TAG).distinct()
+    store.mark_replayed(done, tag)
+    # one name per spooled batch
+    for row in done.collect():
+        store.drop_folder(f"{store.dead_letter_path}/{TAG}={row[0]}")
     return result

@@ -5,6 +5,7 @@
 * `template_snapshots/version=N`      counts folded together, with the tags they contain.
 * `vectors`                           one vector per distinct canonical text and model.
 * `dead_letter/ingest_tag=T`          rejected records as JSON lines.
+* `dead_letter_replays`               which of those batches have been replayed.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ VECTORS = T.StructType(
     ]
 )
 TAG = "ingest_tag"
+REPLAYS = T.StructType([T.StructField(TAG, T.StringType()), T.StructField("replayed_by", T.StringType())])
 
 
 class LogStore:
@@ -57,6 +59,7 @@ class LogStore:
         self.snapshot_tags_path = f"{self.root}/template_snapshot_tags"
         self.vectors_path = f"{self.root}/vectors"
         self.dead_letter_path = f"{self.root}/dead_letter"
+        self.replays_path = f"{self.root}/dead_letter_replays"
 
     # ---- file system ---------------------------------------------------------------------------
 
@@ -197,6 +200,15 @@ class LogStore:
     def spool(self, rejected: DataFrame, tag: str) -> None:
         deadletter.spool(rejected, f"{self.dead_letter_path}/{TAG}={tag}", mode="overwrite")
 
+    def replays(self) -> DataFrame:
+        """Which batch of dead letters was replayed by which run."""
+        return self._read(self.replays_path, REPLAYS)
+
+    def mark_replayed(self, tags: DataFrame, replay: str) -> None:
+        tags.select(TAG, F.lit(replay).alias("replayed_by")).write.mode("append").parquet(self.replays_path)
+
     def dead_letters(self) -> DataFrame:
+        """Rejected records not replayed yet."""
         schema = T.StructType([*DEAD_LETTER.fields, T.StructField(TAG, T.StringType())])
-        return self._read(self.dead_letter_path, schema, "json")
+        letters = self._read(self.dead_letter_path, schema, "json")
+        return letters.join(self.replays().select(TAG), TAG, "left_anti")
