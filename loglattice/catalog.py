@@ -268,7 +268,7 @@ def new_templates(spark, folder):
 @query_of
 def accept_new_events(spark, folder):
     """Content dedup inside the batch and against what is stored already."""
-    batch = dedup.with_identity(all_logs(spark, folder))
+    batch = dedup.with_identity(shipped_logs(spark, folder))
     stored = batch.filter(F.col("timestamp") < predicates.instant(HALF))
     return dedup.not_stored(dedup.first_of_each(batch), stored).select("id", "log_hash")
 

@@ -14,6 +14,10 @@ from ..sources import deadletter
 from ..sources.tables import TAG, LogStore
 
 
+# a key is a date and 16 characters, so this many take some tens of megabytes
+FEW_ROWS = 500_000
+
+
 @dataclass(frozen=True)
 class IngestResult:
     """Handle on a finished batch; the counters are computed when asked for."""
@@ -48,12 +52,14 @@ def accept(
     days: DataFrame,
     config: noise.NoiseConfig | None = None,
     version: str = DEFAULT_VERSION,
+    few: bool = False,
 ) -> DataFrame:
     """Valid, not noise, new: linked to its template and ready to append."""
     good = validate.valid(checked)
     if config is not None:
         good = noise.keep(noise.classify(good, config))
-    new = dedup.not_stored(dedup.first_of_each(dedup.with_identity(good)), stored, days)
+    hashed = dedup.with_identity(good)
+    new = dedup.not_stored(dedup.first_of_each(hashed), stored, days, hashed if few else None)
     # rules run last, on the records that will really be stored
     return templates.with_template(new, version).withColumn("template_id", F.col("template_hash"))
 
@@ -65,12 +71,17 @@ def ingest(
     *,
     config: noise.NoiseConfig | None = None,
     version: str = DEFAULT_VERSION,
+    few: bool = False,
 ) -> IngestResult:
-    """Store one batch under `tag`. Running it again with the same input and tag changes nothing."""
+    """Store one batch under `tag`. Running it again with the same input and tag changes nothing.
+
+    Set `few` only for a batch checked to hold at most `FEW_ROWS` records, such as a micro-batch:
+    its keys are then broadcast to the stored hashes of its days.
+    """
     checked = validate.validate(events)
     # what an earlier attempt of this very batch wrote does not make its records duplicates
     stored = store.events().filter(F.col(TAG) != tag)
-    store.write_events(accept(checked, stored, dedup.batch_days(checked), config, version), tag)
+    store.write_events(accept(checked, stored, dedup.batch_days(checked), config, version, few), tag)
     # counts come from the rows as stored: no second run of the rules
     written = store.events_of(tag).withColumn("template_hash", F.col("template_id"))
     store.write_counts(templates.host_counts(written), tag)

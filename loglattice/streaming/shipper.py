@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.canonical import DEFAULT_VERSION
 from ..operators.noise import NoiseConfig
-from ..plans.ingest import ingest
+from ..plans.ingest import FEW_ROWS, ingest
+from ..session import within_rows
 from ..sources import journald
 from ..sources.tables import LogStore
 
 RETRY_AFTER_SECONDS = 5
 
 
+@contextmanager
+def kept(batch: DataFrame):
+    """Read the source of a micro-batch once; it spills to disk and is read again if an executor is lost."""
+    batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield
+    finally:
+        batch.unpersist()
+
+
 def ship_batch(
     events: DataFrame,
     unreadable: DataFrame | None,
@@ -34,7 +46,8 @@ def ship_batch(
         store.spool(raw, f"{tag}-unreadable")
     for attempt in (1, 2):
         try:
-            ingest(events, store, tag, config=config, version=version)
+            few = within_rows(events, FEW_ROWS)
+            ingest(events, store, tag, config=config, version=version, few=few)
             return
         except Exception:
             if attempt == 2:
@@ -58,7 +71,8 @@ def ship_events(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # the tag repeats with the batch id, so a batch run again replaces its own output
-        ship_batch(batch, None, store, f"{name}-{batch_id:012d}", config=config, version=version)
+        with kept(batch):
+            ship_batch(batch, None, store, f"{name}-{batch_id:012d}", config=config, version=version)
 
     return _start(stream, handle, checkpoint, name, available_now, interval)
 
@@ -86,15 +100,11 @@ def ship_journal(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # parsed once for both outputs; spills to disk and is recomputed if an executor is lost
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        with kept(batch):
             ship_batch(
                 journald.to_events(batch, host), journald.quarantined(batch), store, f"{name}-{batch_id:012d}",
                 config=config, version=version,
             )
-        finally:
-            batch.unpersist()
 
     return _start(counted, handle, checkpoint, name, available_now, interval)
 

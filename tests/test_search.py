@@ -175,6 +175,8 @@ def test_dedup_prunes_days(stored, make_events):
 
     new = dedup.with_identity(make_events({}))
     assert "dynamicpruning" in plan_of(dedup.not_stored(new, stored.events()))
+    few = plan_of(dedup.not_stored(new, stored.events(), few_keys=new))
+    assert "dynamicpruning" in few and few.count("LeftSemi") >= 2 and "SortMergeJoin" not in few
 
 
 def test_join_on_the_template_key_runs_the_rules_once(spark):
