@@ -19,9 +19,12 @@ FIELD = "<*>"
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def tokens(line: Column) -> Column:
-    """Words of a line, those with a digit replaced by the sign of a variable field."""
-    words = F.filter(F.split(line, BLANK), lambda w: w != "")
+def words_of(line: Column) -> Column:
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), BLANK)
+
+
+def tokens(words: Column) -> Column:
+    """Words with those that hold a digit replaced by the sign of a variable field."""
     return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
 
 
@@ -35,16 +38,12 @@ def repeated_lines(docs: DataFrame, depth: int = 3, min_tokens: int = 3, min_gen
     Lines of fewer than `min_tokens` tokens never go; those of fewer than `min_general` are compared as they
     are. A token is fixed at its place when at least `min_lines` lines of the leaf have it there.
     """
-    lines = (
-        docs.select(document_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-        .select("key", "doc_id", "line_no", tokens(F.col("line")).alias("words"))
-        .where(F.size("words") >= min_tokens)
-    )
-    leaf = F.xxhash64(F.size("words"), F.slice("words", 1, depth))
-    slim = lines.select(leaf.alias("leaf"), F.xxhash64("words").alias("exact"), "key", "doc_id", "line_no")
-    # a leaf matters when its lines come from enough documents; equal lines of a document count once per task
-    wide = slim.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    kept = stored(lines.withColumn("leaf", leaf).join(wide, "leaf", "left_semi"), "leaf-lines")
+    words = words_of(F.col("line"))
+    lines = docs.select(document_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    placed = lines.where(F.size(words) >= min_tokens).withColumn("leaf", F.xxhash64(F.size(words), tokens(F.slice(words, 1, depth))))
+    # a leaf matters when its lines come from enough documents; the lines of the others go no further
+    wide = placed.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    kept = stored(placed.join(wide, "leaf", "left_semi").select("leaf", "key", "doc_id", "line_no", tokens(words).alias("words")), "leaf-lines")
     general = kept.where(F.size("words") >= min_general)
     # distinct lines of each leaf carry their number, so a line copied a million times is one row
     shapes = general.groupBy("leaf", "words").agg(F.count("*").alias("n"))
