@@ -24,7 +24,7 @@ from loglattice.llm.common import hash01, over_budget
 OTHER = re.compile(r"[\W\d_]+")
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-BLOCK = 4 << 20  # bytes scored at once
+BLOCK = 1 << 19  # bytes scored at once
 
 
 def plain(text: str | None) -> bytes:

@@ -199,7 +199,7 @@ def step_groups(sequences: list[tuple[int, list[tuple[int, int, int]]]], per_ste
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, max_gap: int = 16, per_step: int = 64,
-    batch_tokens: int = 8_000_000, cached_words: int = 600_000,
+    batch_tokens: int = 4_000_000, cached_words: int = 250_000,
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, tokens (32-bit little-endian ids), doc_tokens,
     sequence_id, offset, context (the size of the sequence) and step_id.
