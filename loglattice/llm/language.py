@@ -24,7 +24,7 @@ from loglattice.llm.common import hash01, over_budget
 OTHER = re.compile(r"[\W\d_]+")
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-BLOCK = 1 << 19  # bytes scored at once
+BLOCK, ROWS = 1 << 19, 1000  # bytes and rows scored at once
 
 
 def plain(text: str | None) -> bytes:
@@ -203,7 +203,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield predict(batch, shared.value)
+            for at in range(0, batch.num_rows, ROWS):
+                yield predict(batch.slice(at, ROWS), shared.value)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, bits_per_byte double")
 
@@ -233,11 +234,13 @@ def keep_known(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, ma
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("_text"))
-            out = predict(pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"]), shared.value)
-            ok = [n != UNKNOWN and s >= min_score and b <= max_bits for n, s, b in zip(*(out.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["_row"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                text = batch.column(batch.schema.get_field_index("_text"))
+                out = predict(pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"]), shared.value)
+                ok = [n != UNKNOWN and s >= min_score and b <= max_bits for n, s, b in zip(*(out.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+                yield batch.filter(pa.array(ok, pa.bool_())).select(["_row"])
 
     rows = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("_text"))
     kind = docs.schema.simpleString()

@@ -68,4 +68,29 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+# Mixing is integer sums, one division and an order by MD5, all of which DuckDB has too. The other queries rest on
+# XXH64, a tokenizer, trained models or (op3, op10) approximate search; the tests compare them with brute force.
+ORACLES = {
+    "op7_mixing": r"""
+WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+             CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS weight FROM s),
+f AS (SELECT *, 2 * source_size AS lim, row_number() OVER fill AS turn, sum(source_size) OVER () * 1.5 AS budget,
+        coalesce(sum(2 * source_size) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        sum(weight) OVER () - coalesce(sum(weight) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+      FROM w WINDOW fill AS (ORDER BY CAST(2 * source_size AS DOUBLE) / weight, source ASC NULLS LAST)),
+v AS (SELECT *, (CAST(budget AS DOUBLE) - CAST(before AS DOUBLE)) / CAST(rest AS DOUBLE) AS lev FROM f),
+l AS (SELECT *, (SELECT arg_min(lev, turn) FROM v WHERE NOT lim <= lev * weight) AS level FROM v),
+t AS (SELECT source, source_size, weight, budget,
+        CASE WHEN level IS NULL THEN CAST(lim AS DOUBLE) ELSE least(CAST(lim AS DOUBLE), level * weight) END AS target FROM l),
+p AS (SELECT source, key, sum(size) AS size FROM d GROUP BY source, key),
+u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto FROM p),
+c AS (SELECT u.source, u.key, u.size, pass, CAST(upto + pass * source_size AS DOUBLE) / weight AS finish, budget
+      FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) AS q(pass)),
+r AS (SELECT *, sum(size) OVER (ORDER BY finish, source ASC NULLS LAST, key, pass) AS total FROM c),
+k AS (SELECT source, key, count(*) AS n FROM r WHERE total <= budget GROUP BY source, key)
+SELECT d.doc_id, d.size, CAST(t.source_size AS BIGINT) AS source_size, t.target, d.size * coalesce(k.n, 0) AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.key = k.key""",
+}
