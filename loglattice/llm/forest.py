@@ -117,8 +117,10 @@ def nearest(
     n_rows, n_asked = rows.count(), asked.count()
     shards, blocks = max(1, -(-n_rows // shard)), max(1, -(-n_asked // query_block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).alias("shard"), every(blocks).alias("block"))
-    right = asked.select("id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).alias("block"), every(shards).alias("shard"))
+    # keys of one type on both sides: a cogroup sends an int and a long of the same value to different tasks
+    own = lambda purpose, n: F.pmod(F.xxhash64("id", F.lit(purpose)), F.lit(n)).cast("int")
+    left = rows.select("id", "v", F.size("v").alias("dims"), own("shard", shards).alias("shard"), every(blocks).alias("block"))
+    right = asked.select("id", "v", F.size("v").alias("dims"), own("block", blocks).alias("block"), every(shards).alias("shard"))
 
     def search(own: pa.Table, wanted: pa.Table) -> pa.Table:
         found = []

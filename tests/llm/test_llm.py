@@ -221,7 +221,12 @@ def test_embedding_links_against_all_pairs(spark):
 
 def test_forest_recall(spark):
     frame, rows = vectors(spark)
-    found = forest.nearest(frame, frame.where("vec_id % 10 = 0"), shard=100).collect()
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # the groups of both sides must meet in separate tasks as well
+    try:
+        found = forest.nearest(frame, frame.where("vec_id % 10 = 0"), shard=100, query_block=8).collect()
+    finally:
+        spark.conf.unset(coalesce)
     good = [(r[0], np.array(r[1]) / np.linalg.norm(r[1])) for r in rows if r[0] < 300 or r[0] == 304]
     hit = total = 0
     for q, v in good:
