@@ -755,15 +755,15 @@ def _affected(spark) -> DataFrame:
 
 @query_of
 def graph_upstream(spark, folder):
-    return graph.upstream(service_edges(spark, folder), _affected(spark), 6)
+    return graph.upstream(service_edges(spark, folder), _affected(spark))
 
 
 @query_of
 def graph_blast_radius(spark, folder):
     edges = service_edges(spark, folder)
-    return graph.blast_radius(edges, edges.select(F.col("dst").alias("node")).distinct(), 4)
+    return graph.blast_radius(edges, edges.select(F.col("dst").alias("node")).distinct())
 
 
 @query_of
 def graph_common_ancestors(spark, folder):
-    return graph.common_ancestors(service_edges(spark, folder), _affected(spark), 8)
+    return graph.common_ancestors(service_edges(spark, folder), _affected(spark))

@@ -164,7 +164,8 @@ def cooldown(alerts: DataFrame, *, key: str, minutes: int) -> DataFrame:
 
 
 def context_bundle(incidents: DataFrame, templated: DataFrame, *, minutes: int = 30, top: int = 5) -> DataFrame:
-    """Most frequent templates of the incident's service in the `minutes` before and after it.
+    """Most frequent templates of the incident's service in the `minutes` before and after it, and the number
+    of all events there.
 
     `incidents` holds incident_id, service and minute. Events are counted per template and minute
     first. Time is cut into slots as wide as the window, an incident looks at three of them.
@@ -182,11 +183,12 @@ def context_bundle(incidents: DataFrame, templated: DataFrame, *, minutes: int =
     )
     near = counts.join(asked, ["service", "slot"]).filter(F.abs(F.col("minute") - F.col("at")) <= minutes)
     totals = near.groupBy("service", "at", "template_hash").agg(F.sum("n").alias("n"))
-    rank = Window.partitionBy("service", "at").orderBy(F.col("n").desc(), "template_hash")
-    best = totals.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top)
+    here = Window.partitionBy("service", "at")
+    rank = F.row_number().over(here.orderBy(F.col("n").desc(), "template_hash"))
+    best = totals.withColumn("rank", rank).withColumn("all", F.sum("n").over(here)).filter(F.col("rank") <= top)
     bundles = best.groupBy("service", F.col("at").alias("minute")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "template_hash", "n"))).alias("templates"),
-        F.sum("n").alias("events"),
+        F.max("all").alias("events"),
     )
     return incidents.select("incident_id", "service", "minute").join(bundles, ["service", "minute"])
 

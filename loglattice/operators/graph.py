@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import check_range
 from ..session import materialise, within_rows
 
+MERGE_EVERY = 12  # levels after which all levels become one table
+
 
-def reach(edges: DataFrame, start: DataFrame, *, forward: bool = True, max_depth: int = 10) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, *, forward: bool = True, max_depth: int | None = None) -> DataFrame:
     """Nodes reachable from `start` (root, node) with their smallest depth, roots excluded.
 
-    One join per level; a node is expanded once per root, so cycles end by themselves. Each
-    level is written to the shared folder, which keeps the plan of the next one short.
+    One join per level until no new node is found; a node is expanded once per root, so cycles end by
+    themselves. `max_depth` asks for the nodes within that many hops only. Each level is written to the
+    shared folder, and so are all levels together now and then, which keeps the plan of the next one short.
     """
-    check_range("max_depth", max_depth, 1)
+    if max_depth is not None:
+        check_range("max_depth", max_depth, 1)
     src, dst = ("src", "dst") if forward else ("dst", "src")
     hops = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
     frontier = start.select("root", "node").distinct().withColumn("depth", F.lit(0))
     visited = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         found = frontier.join(hops, "node").select("root", F.col("next").alias("node")).distinct()
         fresh = found.join(visited.select("root", "node"), ["root", "node"], "left_anti")
         frontier = materialise(fresh.withColumn("depth", F.lit(depth)), f"reach-{depth}")
         if within_rows(frontier, 0):
             break
         visited = visited.unionByName(frontier)
+        if depth % MERGE_EVERY == 0:
+            visited = materialise(visited, f"reached-{depth}")
     return visited.filter(F.col("depth") > 0)
 
 
@@ -34,24 +42,24 @@ def _roots(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node").alias("root"), "node")
 
 
-def upstream(edges: DataFrame, nodes: DataFrame, max_depth: int = 10) -> DataFrame:
+def upstream(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """What the nodes depend on."""
     return reach(edges, _roots(nodes), forward=True, max_depth=max_depth)
 
 
-def downstream(edges: DataFrame, nodes: DataFrame, max_depth: int = 10) -> DataFrame:
+def downstream(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """What depends on the nodes."""
     return reach(edges, _roots(nodes), forward=False, max_depth=max_depth)
 
 
-def blast_radius(edges: DataFrame, nodes: DataFrame, max_depth: int = 10) -> DataFrame:
+def blast_radius(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """How many services a failure of each node touches, and how far away the last one is."""
     return downstream(edges, nodes, max_depth).groupBy("root").agg(
         F.count(F.lit(1)).alias("affected"), F.max("depth").alias("farthest")
     )
 
 
-def common_ancestors(edges: DataFrame, affected: DataFrame, max_depth: int = 10) -> DataFrame:
+def common_ancestors(edges: DataFrame, affected: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes that all affected nodes depend on, nearest first by the sum of depths."""
     n = affected.select("node").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     return (

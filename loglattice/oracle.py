@@ -255,11 +255,12 @@ EDGES = (
 AFFECTED = "affected AS (SELECT unnest(['svc-1', 'svc-5', 'svc-9']) AS node)"
 
 
-def _reach(roots: str, src: str, dst: str, depth: int) -> str:
-    return f"""walk AS (
+def _reach(roots: str, src: str, dst: str) -> str:
+    # no shortest path has more hops than there are nodes
+    return f"""most AS (SELECT count(DISTINCT src) + count(DISTINCT dst) AS hops FROM edges), walk AS (
         SELECT node AS root, node, 0 AS depth FROM {roots}
         UNION
-        SELECT w.root, e.{dst}, w.depth + 1 FROM walk w JOIN edges e ON e.{src} = w.node WHERE w.depth < {depth}),
+        SELECT w.root, e.{dst}, w.depth + 1 FROM walk w JOIN edges e ON e.{src} = w.node WHERE w.depth < (SELECT hops FROM most)),
       reached AS (SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY root, node HAVING min(depth) > 0)"""
 
 
@@ -457,9 +458,10 @@ def statements() -> dict[str, str]:
       c AS (SELECT service, template_hash, {MINUTE} AS minute, count(*) AS n FROM t GROUP BY ALL),
       near AS (SELECT incident_id, template_hash, CAST(sum(n) AS BIGINT) AS n FROM c JOIN i ON i.service = c.service
                AND abs(c.minute - i.at) <= 120 GROUP BY ALL),
-      r AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY n DESC, template_hash) AS rank FROM near),
+      r AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY n DESC, template_hash) AS rank,
+             CAST(sum(n) OVER (PARTITION BY incident_id) AS BIGINT) AS events FROM near),
       b AS (SELECT * FROM r WHERE rank <= 5)
-      SELECT incident_id, CAST(sum(n) OVER (PARTITION BY incident_id) AS BIGINT) AS events, rank, template_hash, n FROM b"""
+      SELECT incident_id, events, rank, template_hash, n FROM b"""
     s["detect_service_overview"] = f"""WITH {T} SELECT service, count(*) AS events, count(*) FILTER (level IN {SEVERE}) AS errors,
       count(*) FILTER (level IN ('WARN', 'WARNING')) AS warnings, count(DISTINCT host) AS hosts,
       count(DISTINCT template_hash) AS templates, max(timestamp) AS last_seen FROM t
@@ -468,9 +470,9 @@ def statements() -> dict[str, str]:
       (SELECT id, host, message FROM h WHERE timestamp < {HALF} OR (timestamp = {HALF} AND id <= 0) ORDER BY timestamp DESC, id DESC LIMIT 6)
       UNION ALL (SELECT id, host, message FROM h WHERE NOT (timestamp < {HALF} OR (timestamp = {HALF} AND id <= 0))
                  ORDER BY timestamp, id LIMIT 5)"""
-    s["graph_upstream"] = f"WITH RECURSIVE {EDGES}, {AFFECTED}, {_reach('affected', 'src', 'dst', 6)} SELECT * FROM reached"
+    s["graph_upstream"] = f"WITH RECURSIVE {EDGES}, {AFFECTED}, {_reach('affected', 'src', 'dst')} SELECT * FROM reached"
     s["graph_blast_radius"] = f"""WITH RECURSIVE {EDGES}, nodes AS (SELECT DISTINCT dst AS node FROM edges),
-      {_reach('nodes', 'dst', 'src', 4)} SELECT root, count(*) AS affected, max(depth) AS farthest FROM reached GROUP BY root"""
-    s["graph_common_ancestors"] = f"""WITH RECURSIVE {EDGES}, {AFFECTED}, {_reach('affected', 'src', 'dst', 8)}
+      {_reach('nodes', 'dst', 'src')} SELECT root, count(*) AS affected, max(depth) AS farthest FROM reached GROUP BY root"""
+    s["graph_common_ancestors"] = f"""WITH RECURSIVE {EDGES}, {AFFECTED}, {_reach('affected', 'src', 'dst')}
       SELECT node, CAST(sum(depth) AS BIGINT) AS distance FROM reached GROUP BY node HAVING count(*) = 3"""
     return s

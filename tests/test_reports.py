@@ -136,6 +136,7 @@ def test_context_bundle_equals_brute_force(make_events, spark):
         )
         got = next(b for b in bundles if b.incident_id == name)
         assert sorted((t.n for t in got.templates), reverse=True) == sorted(near.values(), reverse=True)[:2]
+        assert got.events == sum(near.values())
 
 
 def test_overview_and_context(make_events):
@@ -155,5 +156,8 @@ def test_graph(spark):
     assert tuple(graph.blast_radius(edges, nodes("db")).first()) == ("db", 4, 2)
     shared = graph.common_ancestors(edges, nodes("web", "job")).orderBy("distance").collect()
     assert [(r.node, r.distance) for r in shared] == [("db", 3), ("disk", 5)]
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(14)], "src string, dst string")
+    assert graph.upstream(chain, nodes("n0")).count() == 14
+    assert graph.upstream(chain, nodes("n0"), 3).count() == 3
     with pytest.raises(ValueError):
         graph.upstream(edges, nodes("web"), 0)
