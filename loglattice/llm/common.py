@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,15 @@ def id_hash(doc_id: Column, modulus: int) -> Column:
 
 def over_budget(n_bytes: Column, budget: int) -> Column:
     return F.when(n_bytes > 0, F.least(F.lit(1.0), F.lit(float(budget)) / n_bytes)).otherwise(F.lit(1.0))
+
+
+def pieces(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of consecutive rows of at most `limit` bytes in all, or of one longer row."""
+    begin = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and held + size > limit:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
