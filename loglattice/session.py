@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -35,6 +36,8 @@ def local_session(name: str, cores: int, memory: str = "8g") -> SparkSession:
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Python workers find the package wherever the session is started
+        "spark.executorEnv.PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
