@@ -9,8 +9,8 @@ document is rejected. So is one that fails the plain rules.
 
 The model grows with the corpus and is never broadcast or collected. Documents are dealt to blocks of bounded
 size by a hash; a block asks for its own distinct n-grams, part by part, and gets their bits back as arrays. The
-exchange that deals the texts serves both, so texts move once. As each n-gram of a document has been counted,
-no lookup misses.
+exchange that deals the texts, packed, serves both, so texts move once. As each n-gram of a document has been
+counted, no lookup misses.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def model(counts: DataFrame) -> DataFrame:
         # a context has at most 256 followers
         context = Window.partitionBy("lang", F.shiftright("gram", 8))
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rates = level.join(discounts(level), level["lang"] == F.col("_lang")).drop("_lang").withColumn("d", d)
+        rates = with_language(level, discounts(level), F.col("gram")).withColumn("d", d)
         # sums of a few dozen fixed values: the same in any order but for the last bits, hence whole counts first
         free = sum((F.col(f"d{i}") * F.sum((F.least("n", F.lit(3)) == i).cast("long")).over(context) for i in (2, 3)), F.col("d1") * F.sum((F.col("n") == 1).cast("long")).over(context))
         total = F.sum("n").over(context)
@@ -148,7 +148,57 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+SALT = 64
+
+
+def with_language(rows: DataFrame, small: DataFrame, by: Column) -> DataFrame:
+    """`rows` with the columns of `small`, one row a language; a language's rows are spread by `by` over `SALT` keys."""
+    salts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    at = rows.withColumn("_part", F.pmod(by, F.lit(SALT)).cast("int"))
+    return at.join(salts, (at["lang"] == salts["_lang"]) & (at["_part"] == salts["_salt"]), "left").drop("_lang", "_salt", "_part")
+
+
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their compressed differences."""
+    return pa.compress(np.diff(keys, prepend=0).tobytes(), "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), dtype=np.int64))
+
+
+def dealt(docs: DataFrame, carry: tuple[str, ...], blocks: int) -> DataFrame:
+    """(lang, block, rows, stats..., sizes, packed): documents of a batch and block in one row, their texts compressed.
+
+    A row's block follows from its values, so it is the same whenever a task is run again.
+    """
+    kind = docs.select(F.struct(*carry).alias("row")).schema["row"].dataType.simpleString()
+    spec = f"lang string, block int, rows array<{kind}>, {', '.join(f'{c} array<bigint>' for c in STATS)}, sizes array<bigint>, packed binary"
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(3).cast(pa.binary()).to_pylist()
+            langs, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(langs, numbers, strict=True)):
+                groups.setdefault(key, []).append(i)
+            for (lang, block), at in groups.items():
+                split = [(texts[i] or b"").split() for i in at]
+                stats = zip(*[base_rules(texts[i] or b"", w) for i, w in zip(at, split, strict=True)], strict=True)
+                clean = [plain(w) for w in split]
+                rows = batch.column(2).take(pa.array(at))
+                lists = [rows, *[pa.array(c, pa.int64()) for c in stats], pa.array([len(t) for t in clean], pa.int64())]
+                ends = pa.array([0, len(at)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang], pa.string()), pa.array([block], pa.int32()), *[pa.ListArray.from_arrays(ends, x) for x in lists], pa.array([pa.compress(b"".join(clean), "zstd", asbytes=True)], pa.binary())],
+                    names=["lang", "block", "rows", *STATS, "sizes", "packed"],
+                )
+
+    text = F.col("text").cast("string")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    block = F.pmod(F.xxhash64(*[F.col(c) for c in carry], text), F.lit(blocks)).cast("int")
+    return docs.select(lang.alias("lang"), block.alias("block"), F.struct(*carry).alias("row"), text.alias("text")).mapInArrow(run, spec)
 
 
 def scored(docs: DataFrame, carry: tuple[str, ...], block_bytes: int = 16 << 20, part_grams: int = 400_000, slice_blocks: int = 256) -> DataFrame:
@@ -166,60 +216,71 @@ def scored(docs: DataFrame, carry: tuple[str, ...], block_bytes: int = 16 << 20,
     every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
     arrays = model(counts).groupBy("lang", part).agg(F.sort_array(F.collect_list(F.struct("gram", "bits"))).alias("sorted"))
     stocked = stored(arrays.select("lang", "part", F.col("sorted.gram").alias("grams"), F.col("sorted.bits").alias("bits")), "hash-arrays")
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")
-    dealt = docs.select(lang, F.pmod(F.xxhash64(*[F.col(c) for c in carry], F.col("text").cast("string")), F.lit(blocks)).cast("int").alias("block"), F.struct(*carry).alias("row"), F.col("text").cast("string").alias("text"))
 
     def texts_of(table: pa.Table):
-        texts = table.column("text").combine_chunks().cast(pa.binary())
-        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
-        for begin, end in pieces(sizes, PIECE):
-            yield begin, end, [t or b"" for t in texts.slice(begin, end - begin).to_pylist()]
+        """Pieces of the texts with a word, some documents at a time."""
+        for sizes, packed in zip(table.column("sizes"), table.column("packed"), strict=True):
+            sizes = np.array(sizes.as_py())
+            data = pa.decompress(packed.as_py(), int(sizes.sum()), "zstd", asbytes=True)
+            ends = np.cumsum(sizes)
+            for begin, end in pieces(sizes, PIECE):
+                full = [data[e - n : e] for n, e in zip(sizes[begin:end].tolist(), ends[begin:end].tolist(), strict=True) if n]
+                if full:
+                    yield full
 
     def ask(table: pa.Table) -> pa.Table:
-        found = [np.unique(grams(full)[0]) for _, _, texts in texts_of(table) if (full := [plain(w) for t in texts if (w := t.split())])]
+        found = [np.unique(grams(full)[0]) for full in texts_of(table)]
         keys = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *found]))
         own, block = table.column("lang")[0].as_py(), table.column("block")[0].as_py()
         held = keys % parts
-        lists = [(p, keys[held == p].tobytes()) for p in np.unique(held).tolist()]
+        lists = [(p, keys[held == p]) for p in np.unique(held).tolist()]
         return pa.table({
             "lang": pa.array([own] * len(lists), pa.string()), "part": pa.array([p for p, _ in lists], pa.int32()), "slice": pa.array([block // slice_blocks] * len(lists), pa.int32()),
-            "block": pa.array([block] * len(lists), pa.int32()), "grams": pa.array([k for _, k in lists], pa.binary()),
+            "block": pa.array([block] * len(lists), pa.int32()), "n": pa.array([len(k) for _, k in lists], pa.int64()), "grams": pa.array([squeezed(k) for _, k in lists], pa.binary()),
         })
 
     def answer(asked: pa.Table, stock: pa.Table) -> pa.Table:
         out = []
         if asked.num_rows:
             keys, bits = (stock.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("grams", "bits"))
-            out = [bits[np.searchsorted(keys, np.frombuffer(g.as_py(), dtype=np.int64))].tobytes() for g in asked.column("grams")]
-        return pa.table({"lang": asked.column("lang"), "block": asked.column("block"), "grams": asked.column("grams"), "bits": pa.array(out, pa.binary())})
+            for n, data in zip(asked.column("n").to_pylist(), asked.column("grams").to_pylist(), strict=True):
+                wanted = unsqueezed(data, n)
+                at = np.searchsorted(keys, wanted)
+                if not np.array_equal(keys[np.minimum(at, len(keys) - 1)], wanted):
+                    raise ValueError("a text has changed since its n-grams were counted")
+                out.append(bits[at].astype(np.float32).tobytes())
+        return pa.table({"lang": asked.column("lang"), "block": asked.column("block"), "n": asked.column("n"), "grams": asked.column("grams"), "bits": pa.array(out, pa.binary())})
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, bits = (np.frombuffer(b"".join(answers.column(c).to_pylist()), dtype=t) for c, t in (("grams", np.int64), ("bits", np.float64)))
-        order = np.argsort(keys)
-        keys, bits = keys[order], bits[order]
-        stats, rates = [], []
-        for _, _, texts in texts_of(table):
-            split = [t.split() for t in texts]
-            stats += [base_rules(t, w) for t, w in zip(texts, split, strict=True)]
-            full = [plain(w) for w in split if w]
-            sums = iter(())
-            if full:
-                asked, starts = grams(full)
-                cost = np.add.reduceat(bits[np.searchsorted(keys, asked)], starts)
-                sums = iter(np.floor(1000 * cost / np.diff(np.append(starts, len(asked))) + 0.5).astype(np.int64).tolist())
-            rates += [next(sums) if w else None for w in split]
-        columns = [pa.array(c, pa.int64()) for c in zip(*stats, strict=True)] if stats else [pa.array([], pa.int64())] * 5
-        n, again = (np.array(columns[i]) for i in (0, 4))
+        keys, bits = np.zeros(0, dtype=np.int64), np.zeros(0)
+        if answers.num_rows:
+            keys = np.concatenate([unsqueezed(g, n) for g, n in zip(answers.column("grams").to_pylist(), answers.column("n").to_pylist(), strict=True)])
+            bits = np.frombuffer(b"".join(answers.column("bits").to_pylist()), dtype=np.float32).astype(np.float64)
+            order = np.argsort(keys)
+            keys, bits = keys[order], bits[order]
+        rates = []
+        for full in texts_of(table):
+            asked, starts = grams(full)
+            cost = np.add.reduceat(bits[np.searchsorted(keys, asked)], starts)
+            rates.append(np.floor(1000 * cost / np.diff(np.append(starts, len(asked))) + 0.5).astype(np.int64))
+        flat = {c: table.column(c).combine_chunks().flatten() for c in ("rows", *STATS, "sizes")}
+        some = np.flatnonzero(flat["sizes"].to_numpy() > 0)
+        milli, none = np.zeros(len(flat["sizes"]), dtype=np.int64), np.ones(len(flat["sizes"]), dtype=bool)
+        milli[some], none[some] = np.concatenate(rates) if rates else [], False
+        n, again = (flat[c].to_numpy() for c in ("n_words", "n_repeat_words"))
         failed = (n < 50) | (100 * again > 50 * n)
-        return pa.table([table.column("row"), table.column("lang"), *columns, pa.array(failed), pa.array(rates, pa.int64())], names=["row", "lang", *[c.split()[0] for c in STATS.split(", ")], "milli"])
+        langs = pa.array([table.column("lang")[0].as_py()] * len(n) if len(n) else [], pa.string())
+        return pa.table([flat["rows"], langs, *[flat[c] for c in STATS], pa.array(failed), pa.array(milli, pa.int64(), mask=none)], names=["row", "lang", *STATS, "base_failed", "milli"])
 
-    rows = dealt.groupBy("lang", "block")
-    asked = rows.applyInArrow(ask, "lang string, part int, slice int, block int, grams binary")
+    # one exchange of the packed texts serves the questions and the scores
+    packed = dealt(docs, carry, blocks)
+    rows = packed.groupBy("lang", "block")
+    asked = rows.applyInArrow(ask, "lang string, part int, slice int, block int, n long, grams binary")
     stock = stocked.select("lang", "part", every, "grams", "bits")
     keys = ["lang", "part", "slice"]
-    answers = asked.groupBy(*keys).cogroup(stock.groupBy(*keys)).applyInArrow(answer, "lang string, block int, grams binary, bits binary")
-    kind = dealt.schema["row"].dataType.simpleString()
-    return rows.cogroup(answers.groupBy("lang", "block")).applyInArrow(score, f"row {kind}, lang string, {STATS}, milli long")
+    answers = asked.groupBy(*keys).cogroup(stock.groupBy(*keys)).applyInArrow(answer, "lang string, block int, n long, grams binary, bits binary")
+    kind = packed.schema["rows"].dataType.elementType.simpleString()
+    return rows.cogroup(answers.groupBy("lang", "block")).applyInArrow(score, f"row {kind}, lang string, {', '.join(f'{c} long' for c in STATS)}, base_failed boolean, milli long")
 
 
 def bands(rows: DataFrame, width: float) -> DataFrame:
@@ -235,7 +296,7 @@ def bands(rows: DataFrame, width: float) -> DataFrame:
     return run.groupBy(F.col("lang").alias("_lang")).agg(*at).select("_lang", (F.col("q2") - spread).alias("low"), (F.col("q2") + spread).alias("high"))
 
 
-def judged(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), width: float = 5.0, **sizes) -> DataFrame:
+def judged(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), width: float = 8.0, **sizes) -> DataFrame:
     """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, milli, low, high, kept).
 
     row holds the columns to carry. Words are what stands between blanks (space, and \\t to \\r). A text fails
@@ -245,9 +306,9 @@ def judged(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), width: float =
     occur; an empty table gives an empty result; columns that are not carried play no part.
     """
     rows = stored(scored(docs, carry, **sizes), "judged")
-    found = rows.join(bands(rows, width), rows["lang"] == F.col("_lang"), "left")
+    found = with_language(rows, bands(rows, width), F.xxhash64("milli", "word_chars"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("milli").between(F.col("low"), F.col("high")), F.lit(False))
-    return found.select("row", *[c.split()[0] for c in STATS.split(", ")], "milli", "low", "high", kept.alias("kept"))
+    return found.select("row", *STATS, "base_failed", "milli", "low", "high", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
