@@ -66,8 +66,11 @@ class Discriminant:
         return 1 / (1 + np.exp(-gap))
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, pooled: float = 0.5, diagonal: float = 0.1) -> Discriminant:
-    """Shrinkage estimate; a class without rows takes the moments of all rows, and no rows a unit bell."""
+def fit(rows: np.ndarray, labels: np.ndarray, sizes: tuple[int, int], pooled: float = 0.5, diagonal: float = 0.1) -> Discriminant:
+    """Shrinkage estimate; a class without rows takes the moments of all rows, and no rows a unit bell.
+
+    `sizes` are the rows of both classes before any sampling: the prior follows from them.
+    """
     d = rows.shape[1] if rows.ndim == 2 else len(NAMES)
     rows = rows.reshape(-1, d)
     groups = [rows[labels == k] for k in (0, 1)]
@@ -82,21 +85,23 @@ def fit(rows: np.ndarray, labels: np.ndarray, pooled: float = 0.5, diagonal: flo
         factor = np.linalg.cholesky(mixed)
         factors.append(factor)
         dets.append(2 * np.log(np.diag(factor)).sum())
-    prior = np.log((len(groups[1]) + 1) / (len(groups[0]) + 1))
+    prior = np.log((sizes[1] + 1) / (sizes[0] + 1))
     return Discriminant(np.array(means), np.array(factors), np.array(dets), float(prior))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, pooled: float = 0.5, diagonal: float = 0.1) -> Discriminant:
     """Fitted on a bounded sample: documents with label 0 or 1, drawn by a hash of their id, about `max_rows` a class.
 
-    A document with more than one label row counts with its smallest label. Statistics are computed in
-    tasks; the driver gets the sample's numbers, `max_rows` rows of them at most in expectation.
+    A document with more than one label row counts with its smallest label. The prior comes from all labels.
+    Statistics are computed in tasks; the driver gets the sample's numbers, `max_rows` rows of a class at most
+    in expectation. So long is the list of ids that is broadcast to the texts, which stay where they are.
     """
     marked = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = {r["quality"]: r["share"] for r in marked.groupBy("quality").agg(over_budget(F.count("*"), max_rows).alias("share")).collect()}
-    limit = F.when(F.col("quality") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0)))
+    classes = {r["quality"]: r for r in marked.groupBy("quality").agg(F.count("*").alias("n"), over_budget(F.count("*"), max_rows).alias("share")).collect()}
+    share, sizes = ([classes[k][c] if k in classes else d for k in (0, 1)] for c, d in (("share", 1.0), ("n", 0)))
+    limit = F.when(F.col("quality") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
     chosen = marked.where(hash01(F.col("doc_id"), F.lit("quality")) < limit)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("text", "quality")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")
 
     def run(batches):
         for batch in batches:
@@ -107,11 +112,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, pooled: fl
     x = np.asarray(sample.column("x").combine_chunks().flatten()).reshape(-1, len(NAMES))
     y = np.asarray(sample.column("quality"))
     order = np.lexsort(np.column_stack([x, y]).T)
-    return fit(x[order], y[order], pooled, diagonal)
+    return fit(x[order], y[order], tuple(sizes), pooled, diagonal)
 
 
 def score(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """(doc_id, score) per row, from the text alone; null and empty texts get the score of an empty text."""
+    """(doc_id, score) per row, from the text alone; null and empty texts get the score of an empty text.
+
+    Each row is read by itself: repeated ids, ties and extra columns change nothing; no rows give none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
