@@ -17,6 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     joins may be split by adaptive execution, so a hub is no single task. Lineage is cut once per round.
     An empty table of links gives an empty result; self links and repeats change nothing.
     """
+    # worked out once: both directions are read from it
+    links = cut(links.select("a", "b"))
     pairs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     edges = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     own = links.select(F.col("a").alias("u"), F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("b").alias("v")))

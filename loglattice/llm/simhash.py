@@ -17,7 +17,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm.common import cut, stored
@@ -52,16 +52,22 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp: long) per row of `docs`; the 64 bits are kept as a signed long."""
+def row_digest(docs: DataFrame) -> Column:
+    """Digest of all columns of a row: equal for equal rows only."""
+    return F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256)
+
+
+def fingerprints(docs: DataFrame, width: int = 3, digest: bool = False) -> DataFrame:
+    """(doc_id, fp: long, digest) per row of `docs`; the 64 bits are kept as a signed long, digest is null unless asked for."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    key = row_digest(docs) if digest else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("digest")).mapInArrow(run, "doc_id long, fp long, digest string")
 
 
 @lru_cache(maxsize=4)
@@ -145,21 +151,35 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataF
     A null doc_id gets a component like any other row; it is the id of a component only when no row of it
     has an id. Repeated rows are returned as often as they occur; extra columns are ignored.
     """
-    rows = stored(fingerprints(docs, width), "fingerprints")
+    rows = stored(fingerprints(docs, width).drop("digest"), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    found = components(links(nodes, distance))
-    grouped = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    grouped = _groups(nodes, distance)
     least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
     members = grouped.join(least, "component").select("fp", "component_id")
     return rows.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
+def _groups(nodes: DataFrame, distance: int) -> DataFrame:
+    """`nodes` (one row per fp) with the component of each."""
+    found = components(links(nodes, distance))
+    return nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def keep_one(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its group, once each, with all their columns.
+    """One row of `docs` of each group of near-duplicates, with all its columns: the one with the smallest doc_id.
 
-    Groups without any id keep one row each.
+    Rows without an id come last; among rows of one id the digest of the whole row decides, so the choice is
+    the same in every run, and different texts under one id, or under none, are told apart. Equal rows are one.
+    Empty, blank and null texts are a group like any other. An empty table gives an empty one.
     """
-    kept = near_duplicates(docs, width, distance).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("_key"), F.struct("*").alias("_row"))
-    joined = rows.join(kept, rows["_key"].eqNullSafe(kept["_kept"]), "left_semi")
-    return joined.groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    rows = stored(fingerprints(docs, width, digest=True), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("best")
+    nodes = cut(rows.groupBy("fp").agg(best))
+    chosen = _groups(nodes, distance).groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.digest").alias("digest"))
+    keys = stored(rows.join(chosen, "digest", "left_semi").groupBy(F.col("digest").alias("_digest")).agg(F.count("*").alias("_n")), "kept")
+    kept = docs.select(F.struct("*").alias("_row"), row_digest(docs).alias("_digest")).join(keys, "_digest")
+    out = kept.where("_n = 1").select("_row")
+    if keys.where("_n > 1").limit(1).count():
+        # equal rows: any of them, one per task before they move
+        out = out.unionByName(kept.where("_n > 1").groupBy("_digest").agg(F.first("_row").alias("_row")).select("_row"))
+    return out.select("_row.*")
