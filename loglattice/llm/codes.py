@@ -70,11 +70,13 @@ def near_duplicates(
 
     Rows link when their labels are equal and not null and their cosine is at least `threshold`. Null,
     zero and non-finite vectors, vectors of other dimensions, and rows without a label link with nothing:
-    0 links, a component of their own. Equal vectors always link. Repeated rows count as rows.
+    0 links, a component of their own. Equal vectors always link. Repeated rows count as rows; different
+    vectors under one id are vectors each. An empty table gives an empty result; other columns play no part.
     """
     rows = stored(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")), "vectors")
     valid = rows.where(usable(F.col("v")) & F.col("label").isNotNull())
-    distinct = cut(valid.groupBy("label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep")))
+    # a number for each different vector of a label, fixed once it is written: ids may repeat
+    distinct = cut(valid.groupBy("label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("low")).withColumn("rep", F.monotonically_increasing_id()))
     # bits and tables follow the rows of the label
     sizes = distinct.groupBy("label").agg(F.count("*").alias("rows")).select("label", F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / bucket))).cast("int").alias("bits"))
     keyed = distinct.join(sizes, "label")
@@ -139,8 +141,10 @@ def near_duplicates(
     found = stored(sent.groupBy("bucket", "x", "y").applyInArrow(compare, "rep long, low long, links long"), "links")
     n_links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
-    groups = distinct.select("label", "v", "n", "rep").join(n_links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    members = groups.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    least = comps.join(distinct.select(F.col("rep").alias("node"), "low"), "node").groupBy("component").agg(F.min("low").alias("component_id"))
+    placed_in = comps.join(least, "component").select(F.col("node").alias("rep"), "component_id")
+    groups = distinct.select("label", "v", "n", "low", "rep").join(n_links, "rep", "left").join(placed_in, "rep", "left")
+    members = groups.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "low").alias("component_id"))
     joined = rows.join(members, ["label", "v"], "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,12 +154,12 @@ class LanguageModel:
         return np.add.reduceat(lengths, starts, axis=0, dtype=np.float64)
 
 
-def train(docs: DataFrame, order: int = 3, sample_bytes: int = 2_000_000, max_pairs: int = 400_000) -> LanguageModel:
+def train(docs: DataFrame, order: int = 3, sample_bytes: int = 2_000_000) -> LanguageModel:
     """Count contexts over labelled rows (doc_id, text, lang).
 
     Fitted on a bounded sample: per language, documents drawn by a hash of their id until about
-    `sample_bytes` characters; of each order the `max_pairs` most frequent pairs are kept. Rows without
-    text or language are no examples. The counting is a Spark aggregation; the driver gets the bounded model.
+    `sample_bytes` characters, which bounds the model too. Rows without text or language are no examples. The
+    counting is a Spark aggregation, done once; the driver gets the bounded model.
     """
     rows = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     share = rows.groupBy("lang").agg(over_budget(F.sum(F.length("text")), sample_bytes).alias("share")).collect()
@@ -175,15 +176,19 @@ def train(docs: DataFrame, order: int = 3, sample_bytes: int = 2_000_000, max_pa
                 by_lang.setdefault(lang, []).append(b" " * order + plain(text))
             for lang, texts in by_lang.items():
                 data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+                # the padding before each text is context only
+                inside = np.ones(len(data), dtype=bool)
+                ends = np.cumsum([0] + [len(t) for t in texts[:-1]])
+                inside[(ends[:, None] + np.arange(order)).ravel()] = False
                 for k in range(order + 1):
-                    keys, n = np.unique(grams(data, k + 1)[order:], return_counts=True)
+                    keys, n = np.unique(grams(data, k + 1)[inside], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([k] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "k", "gram", "n"])
 
     found = picked.select("lang", "text").mapInArrow(count, "lang string, k int, gram long, n long").groupBy("k", "gram", "lang").agg(F.sum("n").alias("n"))
     model = LanguageModel(names, order)
+    found = found.toPandas()
     for k in range(order + 1):
-        # least frequent first to go; ties by key
-        top = found.where(F.col("k") == k).orderBy(F.col("n").desc(), "gram", "lang").limit(max_pairs).toPandas()
+        top = found[found["k"] == k]
         keys, at = np.unique(top["gram"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
         counts = np.zeros((len(keys), len(names)))
         if len(top):
@@ -237,11 +242,11 @@ def keep_known(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, ma
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                text = batch.column(batch.schema.get_field_index("_text"))
+                text = pc.struct_field(batch.column(0), "text").cast(pa.string())
                 out = predict(pa.RecordBatch.from_arrays([text, text], names=["doc_id", "text"]), shared.value)
                 ok = [n != UNKNOWN and s >= min_score and b <= max_bits for n, s, b in zip(*(out.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
                 yield batch.filter(pa.array(ok, pa.bool_())).select(["_row"])
 
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(F.struct("*").alias("_row"))
     kind = docs.schema.simpleString()
     return rows.mapInArrow(run, f"_row {kind}").select("_row.*")

@@ -6,9 +6,9 @@ the words, or its inverse, every run holds the longest Lyndon word at one of its
 end at the next smaller suffix, known from the order of the leaves. So each place offers two candidates, which
 are extended to the right by one tree and to the left by the other.
 
-Before, words that can be in no run asked for are taken out: a run of period q and length max(least, times * q)
-repeats all its windows of `least - 1` words q words on, so each of its words is in a window that occurs again
-in the same stretch. What remains are stretches of consecutive words; a run lies in one of them. A document's
+Before, words that can be in no run asked for are taken out: a run repeats its windows of some words one period
+on, so each of its words is in a window that occurs again in the same stretch (`window` says how wide it may be).
+What remains are stretches of consecutive words; a run lies in one of them. A document's
 stretches share its trees, with separators that occur once and so are part of no run. Words are compared by
 themselves; only the test of the windows uses hashes, where an equal hash keeps words and loses none.
 """
@@ -194,7 +194,12 @@ def maximal_runs(codes: np.ndarray, least: int = LEAST, times: int = TIMES) -> n
     return np.unique(found, axis=0)[:, [0, 2, 1]] if len(found) else np.zeros((0, 3), dtype=np.int64)
 
 
-def stretches(codes: np.ndarray, owner: np.ndarray, width: int = LEAST - 1, rounds: int = 4) -> np.ndarray:
+def window(least: int, times: int) -> int:
+    """Widest window of which each one in a run occurs again in the run, one period before or behind."""
+    return max(k for k in range(1, least) if k == 1 or all(max(least, times * q) >= 2 * q + k - 1 for q in range(1, 2 * least)))
+
+
+def stretches(codes: np.ndarray, owner: np.ndarray, width: int, rounds: int = 4) -> np.ndarray:
     """True for words in a window of `width` words that occurs again in the same stretch of the same owner.
 
     Each round looks into what the one before has left; any number of rounds keeps all words of runs.
@@ -238,7 +243,7 @@ def find_runs(documents: list[list[bytes]], least: int = LEAST, times: int = TIM
     sizes = np.array([len(d) for d in documents])
     codes = np.fromiter((number[w] for d in documents for w in d), np.int64, int(sizes.sum()))
     starts = np.cumsum(sizes) - sizes
-    marked = stretches(codes, np.repeat(np.arange(len(documents)), sizes), least - 1)
+    marked = stretches(codes, np.repeat(np.arange(len(documents)), sizes), window(least, times))
     out = []
     for begin, size in zip(starts.tolist(), sizes.tolist(), strict=True):
         at = np.flatnonzero(marked[begin : begin + size])

@@ -44,7 +44,7 @@ def labelled(docs: DataFrame, sample_docs: int = 20_000) -> DataFrame:
     n = docs.agg(over_budget(F.count("*"), sample_docs).alias("share")).first()["share"]
     picked = docs.where(hash01(F.col("doc_id"), F.lit("secrets")) < n)
     words = F.filter(F.split(F.col("text").cast("string"), r"[^A-Za-z]+"), lambda w: F.length(w) >= 5)
-    names = picked.select(F.slice(words, 1, 40).alias("w")).where("size(w) > 1").select(
+    names = picked.select(words.alias("w")).where("size(w) > 1").select(
         F.explode(F.expr("flatten(transform(w, (x, i) -> array(x, concat(x, '_', w[(i + 1) % size(w)]), concat(lower(x), '-', i), concat(x, '_20', 10 + i))))")).alias("token"), F.lit(False).alias("random")
     )
     digest = F.sha2(F.concat(F.lit("random "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
@@ -87,7 +87,7 @@ def spans(docs: DataFrame, table: list[float], min_ratio: float = 1.0) -> DataFr
         "assign": (ASSIGN, f"length(regexp_extract(hit, {quoted(ASSIGN)}, 2)) >= 12"),
         "access": (ACCESS, "length(hit) >= 18"),
         "hex": (HEX, "true"),
-        "random": (TOKEN, f"hit rlike '[0-9]' and hit rlike '[A-Za-z]' and {ratio(table, 'hit')} >= {min_ratio}"),
+        "random": (TOKEN, f"{ratio(table, 'hit')} >= {min_ratio}"),
     }
     parts = [
         f"transform(arrays_zip(regexp_extract_all(text, {quoted(p)}, 0), split(text, {quoted(p)}, -1)), (z, i) -> named_struct('kind', {k}, 'i', i, 'gap', length(z.`1`), 'hit', z.`0`))"
@@ -111,7 +111,8 @@ def quoted(pattern: str) -> str:
 
 
 def text_key(docs: DataFrame) -> Column:
-    return F.xxhash64(docs["doc_id"].cast("string"), docs["text"].cast("string"))
+    """Digest of id and text."""
+    return F.sha2(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("-")), F.lit(":"), F.coalesce(docs["text"].cast("string"), F.lit(""))), 256)
 
 
 def joined(of: str) -> str:
@@ -123,7 +124,7 @@ def report(docs: DataFrame, table: list[float], min_ratio: float = 1.0) -> DataF
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) per row.
 
     Null and empty texts have no span. Rows are read one by one; repeated rows are found once and returned
-    as often as they occur.
+    as often as they occur. An empty table gives an empty result; other columns play no part.
     """
     found = stored(spans(docs, table, min_ratio), "secrets").withColumnRenamed("key", "_key")
     rows = docs.select("doc_id", text_key(docs).alias("key"))

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loglattice.llm import codes, forest, language, mixing, packing, pii, quality, secrets, simhash, templates
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, fp int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, fp int, key int, leaf int, template string, source_size int, _row int, _text int, v int, n int, dims int, digest string"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-ODD = [None, "", " \n\t ", "x", "the " * 3000, "é" * 500, "a\n\nb\n", "-- !! 12"]
+ODD = [None, "", " \n\t ", "x", "the " * 3000, "é" * 500, "a\n\nb\n", "-- !! 12", "word of some length here\n" * 40_000]
 
 
 @pytest.fixture(scope="module")
@@ -27,8 +31,9 @@ def documents(spark):
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in every column, empty and long texts, ties, repeated rows, columns whose names clash with ours."""
-    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s", 1, "x", 7) for i, t in enumerate(ODD)]
-    rows += [rows[4], rows[4], (None, "null id", None, None, None, None, None), (None, None, None, None, None, None, None)]
+    more = ("x", 7, 1, 2, "t", 3, 4, 5, 6, 7, 8, "d")
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s", 1, *more) for i, t in enumerate(ODD)]
+    rows += [rows[4], rows[4], (None, "null id", *[None] * 15), (None,) * 17]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -105,7 +110,30 @@ def test_one_document_of_each_group_stays(odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
     ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
-    assert ids == [0, 3, 4, 5, 6, 7]  # 1 and 2 have no word, like 0; 4 is there three times
+    assert ids == [0, 3, 4, 5, 6, 7, 8]  # 1 and 2 have no word, like 0; 4 is there three times
+
+
+def test_one_of_each_group_whatever_the_ids(spark):
+    """Rows without an id, and different texts under one id, are told apart."""
+    texts = [f"{w} " * 3 + f"{w}{w} tail {w}" for w in ("red", "green", "blue", "grey", "pink", "teal")]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[4]), (7, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for shuffled in (docs, docs.repartition(5), docs.orderBy("text")):
+        kept = sorted(map(tuple, simhash.keep_one(shuffled).collect()), key=repr)
+        assert kept == sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (7, texts[5])], key=repr)
+
+
+def test_one_of_each_group_against_all_pairs(documents):
+    rows = documents.collect()
+    prints = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode()) for r in rows}
+    low = {i: i for i in prints}
+    near = {i: [j for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2] for i in prints}
+    for _ in low:
+        now = {i: min(low[j] for j in near[i]) for i in low}
+        if now == low:
+            break
+        low = now
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents).collect()) == sorted({*low.values()})
 
 
 def test_mixing_reaches_targets(documents):
@@ -172,10 +200,35 @@ def test_pii_against_patterns():
         for _ in range(3000):
             text = "".join(rng.choice(list(alphabet), rng.integers(0, 30)))
             assert [s for s in pii.find(text) if s[0] in pii.BASE] == list(base_pii(text)), text
+    assert pii.find("x" * 100 + " [at] mail.example")[-1][:2] == ("spoken", 0)
     extra = {s[0] for s in pii.find("see https://a.example/x?y=1, IBAN GB82 WEST 1234 5698 7654 32 or jo [at] mail [dot] example")}
     assert extra == {"url", "account", "spoken"}
 
 
+def test_pii_takes_time_in_proportion():
+    for cue in ("-ssn", "iban ", "@a.", "+1 ", "1.2.", "x [at] "):
+        text = cue * (1_000_000 // len(cue))
+        start = time.perf_counter()
+        pii.find(text)
+        assert time.perf_counter() - start < 6, cue
+
+
+def test_random_tokens_against_names(spark):
+    """Precision and recall of the character models on planted tokens, those without a digit included."""
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    drawn = ["".join(rng.choice(letters, 28)) for _ in range(200)]
+    drawn += [base64.b64encode(rng.bytes(21)).decode().replace("+", "A").replace("/", "B") for _ in range(200)]
+    words = [w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(200).collect() for w in re.findall("[a-z]{5,12}", r["text"])]
+    names = ["_".join(words[i : i + 4]) for i in range(0, 4000, 10)]
+    names = [n for n in names if len(n) >= 20]
+    rows = [(i, f"key {t} end") for i, t in enumerate([*drawn, *names])]
+    table = secrets.train(secrets.labelled(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    found = {r["doc_id"] for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string"), table).where("spans like '%random%'").collect()}
+    hit = len([i for i in found if i < len(drawn)])
+    assert hit >= 0.98 * len(drawn) and len(found) - hit <= 0.02 * len(names)
+
+
 def test_secrets_against_patterns(spark):
     texts = [
         None, "", 'token = "abcdefghijkl" secret:token:abcdefghijklmnop é PASSWD=123', "AKIAABCDEFGHIJKLMN AKIA1 deadbeefdeadbeef00 api-key: x api_key=aaaaaaaaaaaaa",
@@ -219,6 +272,12 @@ def test_embedding_links_against_all_pairs(spark):
             assert r["component_id"] == low.get(r["vec_id"], r["vec_id"]) and r["kept"] == (r["component_id"] == r["vec_id"])
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [0.02, 1.0], 0)]
+    got = sorted(tuple(r) for r in codes.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
 def test_forest_recall(spark):
     frame, rows = vectors(spark)
     coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
@@ -246,6 +305,69 @@ def test_recurring_lines_go_but_the_first(spark):
     assert all("Copyright" not in out[i] and "short" in out[i] for i in range(1, 5))
 
 
+def dropped_by_tree(docs, depth=3, share=0.7):
+    """(doc_id, line_no) that a plain tree over all lines drops; ids are distinct."""
+    leaves, forms = defaultdict(list), defaultdict(list)
+    for doc_id, text in docs:
+        for no, line in enumerate((text or "").split("\n")):
+            words = [w for w in re.split(r"[\t\x0b\x0c\r ]", line) if w]
+            shape = ["<*>" if re.search("[0-9]", w) else w for w in words]
+            if len(words) >= 3:
+                leaves[len(words), *shape[:depth]].append((doc_id, no, words, shape))
+    for lines in leaves.values():
+        seen = Counter((i, w) for *_, shape in lines for i, w in enumerate(shape))
+        for doc_id, no, words, shape in lines:
+            fixed = [w if seen[i, w] >= 3 else None for i, w in enumerate(shape)]
+            general = sum(w is not None for w in fixed) >= share * len(words) and sum(w not in (None, "<*>") for w in fixed) >= 2
+            forms[(True, *fixed) if general else (False, *words)].append((doc_id, no))
+    return {at for places in forms.values() if len({d for d, _ in places}) >= 3 for at in places if at[0] != min(d for d, _ in places)}
+
+
+def test_lines_against_a_plain_tree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = dropped_by_tree([tuple(r) for r in docs.collect()])
+    got = {(r["doc_id"], r["line_no"]) for r in templates.repeated_lines(docs).collect()}
+    assert got == want and len(want) > 100
+
+
+def test_short_lines_have_templates(spark):
+    rows = [(i, f"Page {i} of {i + 7}\n{i} {i + 1} {i + 2}\nown words {'abcdefgh'[i]}") for i in range(8)]
+    out = [r["text"] for r in templates.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out[0].startswith("Page 0") and not any("Page" in t for t in out[1:])
+    assert all(t.count("\n") == 1 for t in out[1:])  # numbers alone are no template
+
+
+def test_quality_against_a_plain_discriminant(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    x = {k: np.array([quality.statistics(texts[r["doc_id"]]) for r in labels.orderBy("doc_id").collect() if r["quality"] == k]) for k in (0, 1)}
+    own = {k: np.cov(v.T, bias=True) for k, v in x.items()}
+    n = {k: len(v) for k, v in x.items()}
+    within = (n[0] * own[0] + n[1] * own[1]) / (n[0] + n[1])
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+
+    def density(k, row):
+        mixed = 0.5 * own[k] + 0.5 * within
+        mixed = 0.9 * mixed + 0.1 * np.eye(len(row)) * np.trace(mixed) / len(row)
+        gap = row - x[k].mean(axis=0)
+        return -0.5 * (gap @ np.linalg.inv(mixed) @ gap + np.linalg.slogdet(mixed)[1])
+
+    for doc_id in list(texts)[:100]:
+        row = np.array(quality.statistics(texts[doc_id]))
+        gap = density(1, row) - density(0, row) + math.log((n[1] + 1) / (n[0] + 1))
+        assert got[doc_id] == pytest.approx(1 / (1 + math.exp(-max(-700, min(700, gap)))), abs=1e-6)
+    small = quality.train(docs, labels, max_rows=30)
+    assert small.prior == model.prior  # the sample's size does not move the prior
+
+
+def test_language_counts_do_not_depend_on_batches(documents):
+    one, other = (language.train(d) for d in (documents.coalesce(1), documents.repartition(7)))
+    for k in range(4):
+        assert (one.keys[k] == other.keys[k]).all() and (one.counts[k] == other.counts[k]).all()
+
+
 def test_odd_rows_and_empty_tables(spark, odd, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.train(docs)
@@ -274,3 +396,21 @@ def test_stages_keep_columns(spark, documents):
         assert at.count() > 0.8 * documents.count(), name
 
 
+def test_pipeline_by_stage(spark, documents):
+    """The whole pipeline: each stage does to all that the one before kept what its operator does, and nothing is lost."""
+    at, kept = documents, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, at = at.collect(), stage(spark, at, "/root/testdata/sf0.001").checkpoint()
+        kept[name] = at.collect()
+        ids = {r["doc_id"] for r in before}
+        assert {r["doc_id"] for r in kept[name]} <= ids
+        if name == "lines":
+            gone = dropped_by_tree([(r["doc_id"], r["text"]) for r in before])
+            want = {r["doc_id"]: "\n".join(x for i, x in enumerate((r["text"] or "").split("\n")) if (r["doc_id"], i) not in gone) for r in before}
+            assert {r["doc_id"]: r["text"] for r in kept[name]} == want
+    final = corpus_pipeline.STAGES[-1][1](spark, at, "").collect()
+    mixed = Counter(r["doc_id"] for r in kept["mixing"])
+    starts = Counter(r["doc_id"] for r in final if r["start"] == 0)
+    assert starts == mixed
+    whole = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert Counter(r["doc_id"] for r in whole.where("start = 0").collect()) == mixed
