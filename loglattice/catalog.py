@@ -36,6 +36,7 @@ END = "2024-01-31 00:00:00"
 SEARCH_TEXT = "connection refused by 10.0.0.1:8080 pid=4242 after 3.5s"
 BYTES_PER_ROW = 520
 LSH_K = 10
+MODEL = "hashed-bow-64"
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -416,6 +417,14 @@ def safety_net_links(spark, folder):
 @query_of
 def backfill_stored(spark, folder):
     """A store with unlinked rows is backfilled; the run metrics and the repaired dimension agree."""
+    store = legacy_store(spark, folder)
+    metrics = backfill.backfill_templates(store)
+    total = tpl.roll_up(store.counts()).agg(F.sum("event_count").alias("n"))
+    return metrics.withColumn("counted_events", total.scalar())
+
+
+def legacy_store(spark, folder) -> LogStore:
+    """A store of which every seventh event is not linked, and so not counted."""
     store = LogStore(spark, shared_dir(spark, "backfill"))
     events = partly_linked(spark, folder)
     linked = F.col("template_id").isNotNull()
@@ -425,9 +434,85 @@ def backfill_stored(spark, folder):
     store.write_events(hashed, "legacy")
     stored = store.events().filter(linked).withColumn("template_hash", F.col("template_id"))
     store.write_counts(tpl.host_counts(stored), "legacy")
+    return store
+
+
+def _counted(store: LogStore) -> int:
+    return store.counts().agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("n")).first()["n"]
+
+
+@query_of
+def backfill_after_purge(spark, folder):
+    """After retention a backfill adds what it links; the counts of events that are gone stay, and a second run adds nothing."""
+    store = legacy_store(spark, folder)
+    retention.purge(store, AS_OF, 10)
+    before = _counted(store)
     metrics = backfill.backfill_templates(store)
-    total = tpl.roll_up(store.counts()).agg(F.sum("event_count").alias("n"))
-    return metrics.withColumn("counted_events", total.scalar())
+    after = _counted(store)
+    again = backfill.backfill_templates(store)
+    return (
+        metrics.withColumn("counted_before", F.lit(before)).withColumn("counted_after", F.lit(after))
+        .withColumn("second_run", again.select("processed").scalar()).withColumn("counted_at_last", F.lit(_counted(store)))
+    )
+
+
+@query_of
+def safety_net_stored(spark, folder):
+    """The capped catch-up run on a store: only the 500 lowest orphans are linked and counted."""
+    store = legacy_store(spark, folder)
+    metrics = backfill.safety_net(store, cap=500)
+    return metrics.withColumn("counted_events", F.lit(_counted(store)))
+
+
+class _CountsAway(LogStore):
+    """A store that loses its counts folder between the two writes of a batch."""
+
+    def write_counts(self, counts, tag):
+        raise RuntimeError("template counts cannot be written")
+
+
+@query_of
+def failed_batch_replay(spark, folder):
+    """A batch fails after its events were written; the next start ingests it under its tag, and counts equal events."""
+    root = shared_dir(spark, "failing-store")
+    shipper.ship_batch(shipped_logs(spark, folder), None, _CountsAway(spark, root), "b-1", config=config(), retry_after=0)
+    store = LogStore(spark, root)
+    kept, before = len(store.failed_tags()), _counted(store)
+    recovered = shipper.recover(store, config=config())
+    stored = store.events().agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("template_id").alias("templates"))
+    return stored.select(
+        "stored", "templates", F.lit(before).alias("counted_before"), F.lit(_counted(store)).alias("counted"),
+        F.lit(kept).alias("kept"), F.lit(len(recovered)).alias("recovered"), F.lit(len(store.failed_tags())).alias("left"),
+    )
+
+
+@query_of
+def evolve_stored(spark, folder):
+    """A stored table of two generations of files read as one, then rolled back on disk."""
+    path = f"{shared_dir(spark, 'generations')}/events"
+    old = F.col("timestamp") < predicates.instant(HALF)
+    rows = logs(spark, folder).withColumn("event_date", F.to_date("timestamp"))
+    rows.filter(old).select("id", "service", "event_date").write.partitionBy("event_date").parquet(path)
+    rows.filter(~old).select("id", "service", "error_code", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+    both = materialise(retention.read_generations(spark, path), "both-generations")
+    rewritten = retention.drop_stored_columns(spark, path, ["error_code"], "event_date")
+    after = retention.read_generations(spark, path)
+    left = after.groupBy("id").agg(F.count(F.lit(1)).alias("rows_after"))
+    return both.join(left, "id").select(
+        "id", "service", "error_code", "event_date", "rows_after", F.lit(rewritten).alias("rewritten"), F.lit(",".join(sorted(after.columns))).alias("columns_after")
+    )
+
+
+@query_of
+def catalog_views(spark, folder):
+    """What a store holds, read by SQL through its views."""
+    store = LogStore(spark, shared_dir(spark, "viewed-store"))
+    ingest.ingest(materialise(spread(logs(spark, folder)), "shipped-logs"), store, "load")
+    prefix = f"v{store.root[-12:]}_"
+    store.register(prefix)
+    return spark.sql(f"""SELECT t.level, t.templates, t.counted, e.n FROM
+        (SELECT level, count(*) AS templates, sum(event_count) AS counted FROM {prefix}log_templates GROUP BY level) t
+        JOIN (SELECT level, count(*) AS n FROM {prefix}log_events GROUP BY level) e ON t.level = e.level""")
 
 
 @query_of
@@ -517,11 +602,54 @@ def search_templates(spark, folder):
 
 @query_of
 def nearest_by_index(spark, folder):
-    """Approximate neighbours of one stored vector through the random-projection index."""
+    """Neighbours of one stored vector through a stored table of hash buckets."""
     vec = table(spark, folder, "embeddings").withColumnRenamed("embedding", "embedding_vector").withColumnRenamed("vec_id", "id")
+    index = search.VectorIndex.build(vec, shared_dir(spark, "vector-index"), dims=64)
     target = vec.filter("id = 0").first()["embedding_vector"]
-    hits = search.NeighbourIndex(vec).nearest(target, LSH_K)
-    return hits.select("id", "label", r6(F.col("distance")).alias("distance"))
+    return index.nearest(target, LSH_K).select("id", "label", r6(F.col("distance")).alias("distance"))
+
+
+def embedded_store(spark, folder) -> LogStore:
+    """All logs of the events table in a store, with the vectors of the offline model."""
+    store = LogStore(spark, shared_dir(spark, "embedded-store"))
+    ingest.ingest(materialise(spread(logs(spark, folder)), "shipped-logs"), store, "load")
+    backfill.backfill_vectors(store, V.hashed_bag_of_words(), MODEL)
+    return store
+
+
+@query_of
+def stored_search_logs(spark, folder):
+    """Log search on a store: events take the score of their template's text."""
+    unit = search.query_vector(spark, SEARCH_TEXT, V.hashed_bag_of_words())
+    hits = search.search_stored_logs(
+        embedded_store(spark, folder), unit, MODEL, level="ERROR", start="2024-01-05 00:00:00", end=END, limit=20
+    )
+    return hits.select("id", "service", "message", r6(F.col("similarity_score")).alias("similarity_score"))
+
+
+@query_of
+def stored_search_templates(spark, folder):
+    """Template search on a store that was prepared before."""
+    store = embedded_store(spark, folder)
+    unit = search.query_vector(spark, SEARCH_TEXT, V.hashed_bag_of_words())
+    hits = search.search_templates(store.templates(MODEL), store.events(), unit, limit=10, examples=3)
+    return hits.select(
+        "template_id", "canonical_text", "event_count", r6(F.col("similarity_score")).alias("similarity_score"),
+        F.posexplode_outer("example_events").alias("rank", "example"),
+    ).select("template_id", "canonical_text", "event_count", "similarity_score", "rank", F.col("example.id").alias("event_id"))
+
+
+@query_of
+def reembed_new_model(spark, folder):
+    """A second model embeds every text anew, beside the vectors of the first; run twice it adds nothing."""
+    store = embedded_store(spark, folder)
+    for _ in range(2):
+        backfill.backfill_vectors(store, V.hashed_bag_of_words(32), "hashed-bow-32")
+    stored = spark.read.parquet(store.vectors_path).groupBy("embedding_model").agg(F.count(F.lit(1)).alias("rows"))
+    per_model = store.vectors().groupBy("embedding_model").agg(
+        F.count(F.lit(1)).alias("texts"), F.min(F.size("embedding_vector")).alias("dims"), F.max(F.size("embedding_vector")).alias("most_dims")
+    )
+    return per_model.join(stored, "embedding_model")
 
 
 @query_of
@@ -566,6 +694,61 @@ def stream_journal(spark, folder):
     return store.events().groupBy("service", "level").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("newest"))
 
 
+def in_order(df: DataFrame, cuts: list[str]) -> tuple[DataFrame, str]:
+    """A stream of rows that arrive file by file in order of time, one file a slice, and its folder."""
+    spark, source = df.sparkSession, shared_dir(df.sparkSession, "slices")
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = df
+        part = part if low is None else part.filter(F.col("timestamp") >= predicates.instant(low))
+        part = part if high is None else part.filter(F.col("timestamp") < predicates.instant(high))
+        part.coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source), source
+
+
+@query_of
+def stream_cooldown(spark, folder):
+    """Alerts that arrive in three batches: what fires equals the batch form."""
+    alerts = logs(spark, folder).filter(_killed()).select("service", "timestamp")
+    stream, _ = in_order(alerts, ["2024-01-10 00:00:00", "2024-01-20 12:00:00"])
+    fired = detect.cooldown_stream(stream, key="service", minutes=360)
+    out = shared_dir(spark, "fired")
+    run = fired.writeStream.option("checkpointLocation", shared_dir(spark, "cooldown-checkpoint")).format("parquet")
+    run.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(fired.schema).parquet(out).select("service", "minute", "fired_at")
+
+
+@query_of
+def stream_noise_stats(spark, folder):
+    """The statistics of the noise filter, kept batch by batch as a stream is shipped, added up."""
+    stream, _ = in_order(logs(spark, folder).select(*EVENT_COLUMNS), ["2024-01-08 00:00:00", "2024-01-19 00:00:00"])
+    store = LogStore(spark, shared_dir(spark, "stats-store"))
+    shipper.ship_events(stream, store, shared_dir(spark, "stats-checkpoint"), name="stats", config=config()).awaitTermination()
+    return store.stats().filter(F.col("drop_reason").isNotNull()).groupBy("drop_reason").agg(F.sum("n").alias("dropped"))
+
+
+@query_of
+def stream_dedup_late(spark, folder):
+    """Copies in a batch, in a later batch, and in a run that has lost its memory: each event is stored once.
+
+    The stream's own state drops the first two kinds; the third passes it and meets the stored events.
+    """
+    events = logs(spark, folder).select(*EVENT_COLUMNS)
+    early = events.filter(F.col("timestamp") < predicates.instant(HALF))
+    late = events.filter(F.col("timestamp") >= predicates.instant(HALF))
+    source = shared_dir(spark, "copies")
+    early.unionByName(early.filter("id % 2 = 0")).coalesce(1).write.parquet(source)
+    late.unionByName(early.filter("id % 3 = 0")).coalesce(1).write.mode("append").parquet(source)
+    store = LogStore(spark, shared_dir(spark, "copies-store"))
+    for name in ("first", "second"):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        shipper.ship_events(stream, store, shared_dir(spark, "copies-checkpoint"), name=name, distinct_for="1 hour").awaitTermination()
+    run = F.substring_index("ingest_tag", "-", 1).alias("run")
+    passed = store.stats().groupBy(run).agg(F.sum("n").alias("passed"))
+    stored = store.events().groupBy(run).agg(F.count(F.lit(1)).alias("stored"))
+    return passed.join(stored, "run", "left").select("run", "passed", F.coalesce("stored", F.lit(0)).alias("stored"))
+
+
 # ---- noise and reports ---------------------------------------------------------------------------
 
 
@@ -691,6 +874,12 @@ def detect_template_anomalies(spark, folder):
     return found.select("template_hash", "day", "n", r6(F.col("mean")).alias("mean"), r6(F.col("sigma")).alias("sigma"))
 
 
+@query_of
+def detect_template_stats(spark, folder):
+    """Count, span, hosts and trend of every template."""
+    return detect.template_stats(templated(spark, folder))
+
+
 @query_of
 def detect_silence(spark, folder):
     return detect.silences(logs(spark, folder), END)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import logging
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OFFLINE_DIM = 64
+log = logging.getLogger(__name__)
 
 
 def to_text(vector: Column) -> Column:
@@ -55,6 +60,35 @@ def similarity(distance: Column) -> Column:
     return F.lit(1.0) - distance
 
 
+# ---- hash buckets ---------------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=8)
+def projections(tables: int, bits: int, dims: int) -> np.ndarray:
+    """(tables, bits, dims) of +1 and -1, each from the first digit of a digest of its place: the same everywhere."""
+    sign = lambda *at: 1.0 - 2.0 * (ord(hashlib.sha256(":".join(map(str, at)).encode()).hexdigest()[0]) % 2)
+    return np.array([[[sign(t, b, d) for d in range(dims)] for b in range(bits)] for t in range(tables)])
+
+
+def bucket_numbers(tables: int, bits: int, dims: int) -> Callable[[Column], Column]:
+    """Bucket of a vector in each table: bit b is set on the positive side of projection b. Null for other sizes."""
+
+    @F.arrow_udf("array<int>")
+    def numbers(vectors: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), dims), False)
+        rows = pc.filter(vectors, fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+        # row by row, so that a vector's bucket does not depend on its neighbours in a batch
+        side = np.einsum("nd,tbd->ntb", rows, projections(tables, bits, dims)) > 0
+        packed = (side * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+        inside = fits.to_numpy(zero_copy_only=False)
+        out = np.zeros((len(vectors), tables), dtype=np.int32)
+        out[inside] = packed
+        ends = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * tables)
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel()), mask=pa.array(~inside))
+
+    return lambda vector: numbers(vector)
+
+
 # ---- embedders ---------------------------------------------------------------------------------
 
 
@@ -75,7 +109,7 @@ def _bucket_counter(dims: int, cells: int = 1 << 20):
         out = np.zeros((len(buckets), dims), dtype=np.float32)
         for start in range(0, len(buckets), rows_per_block):
             block = buckets.slice(start, rows_per_block)
-            lengths = pa.compute.list_value_length(block).fill_null(0).to_numpy(zero_copy_only=False)
+            lengths = pc.list_value_length(block).fill_null(0).to_numpy(zero_copy_only=False)
             flat = block.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             rows = np.repeat(np.arange(len(block), dtype=np.int64), lengths)
             counts = np.bincount(rows * dims + flat, minlength=len(block) * dims).reshape(len(block), dims)
@@ -112,7 +146,7 @@ def model_embedder(
             if len(vectors) == len(texts):
                 return list(vectors)
         except Exception:
-            pass
+            log.warning("a batch of %d texts was not embedded", len(texts), exc_info=True)
         if len(texts) == 1:
             return [None]
         return [v for t in texts for v in one_batch([t])]

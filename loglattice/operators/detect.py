@@ -7,6 +7,9 @@ number of rows set by the time range and not by the volume.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,28 +142,81 @@ def correlations(events: DataFrame, a: Column, b: Column, *, by: str = "host", m
     )
 
 
+def fires(slots: np.ndarray, minutes: int, last: int | None = None) -> list[int]:
+    """Of ascending minutes those that fire, each silencing the next `minutes`; one search per alert that fires."""
+    out: list[int] = []
+    at = 0 if last is None else int(np.searchsorted(slots, last + minutes))
+    while at < len(slots):
+        out.append(int(slots[at]))
+        at = int(np.searchsorted(slots, out[-1] + minutes))
+    return out
+
+
 def cooldown(alerts: DataFrame, *, key: str, minutes: int) -> DataFrame:
     """Alerts that fire when each one silences its key for `minutes` minutes.
 
-    Whether an alert fires depends on the one fired before it, so a key is folded in time order.
-    The fold runs over distinct minutes: a list as long as the time range, however many alerts.
+    Whether an alert fires depends on the one fired before it, so a key is folded in time order. After a pause
+    of `minutes` the next alert fires whatever was before, so a key is cut there and its stretches are folded
+    apart. A stretch is a list of distinct minutes, as long as its time range, however many alerts.
     """
     check_range("minutes", minutes, 1)
     slots = alerts.groupBy(key, _minute(F.col("timestamp")).alias("minute")).agg(rows().alias("n"))
-    nothing = F.array().cast("array<bigint>")
-    fired = F.aggregate(
-        F.array_sort("slots"),
-        nothing,
-        lambda acc, m: F.when(
-            (F.size(acc) == 0) | (m - F.get(acc, F.size(acc) - 1) >= minutes), F.array_append(acc, m)
-        ).otherwise(acc),
-    )
-    return (
-        slots.groupBy(key)
-        .agg(F.collect_list("minute").alias("slots"))
-        .select(key, F.explode(fired).alias("minute"))
-        .withColumn("fired_at", F.timestamp_seconds(F.col("minute") * 60))
+    order = Window.partitionBy(key).orderBy("minute")
+    pause = F.coalesce(F.col("minute") - F.lag("minute").over(order) >= minutes, F.lit(True))
+    cut = slots.withColumn("stretch", F.sum(pause.cast("long")).over(order)).select(key, "stretch", "minute")
+
+    def fold(stretch: pa.Table) -> pa.Table:
+        fired = fires(np.sort(stretch.column("minute").to_numpy()), minutes)
+        return pa.table({key: stretch.column(key).slice(0, 1).combine_chunks().take(pa.array([0] * len(fired), pa.int32())), "minute": pa.array(fired, pa.int64())})
+
+    kind = alerts.schema[key].dataType.simpleString()
+    folded = cut.groupBy(key, "stretch").applyInArrow(fold, f"{key} {kind}, minute long")
+    return folded.withColumn("fired_at", F.timestamp_seconds(F.col("minute") * 60))
+
+
+def cooldown_stream(alerts: DataFrame, *, key: str, minutes: int, delay: str = "10 minutes") -> DataFrame:
+    """`cooldown` on a stream: the state of a key is the minute that fired last, dropped once it silences nothing.
+
+    Alerts may come up to `delay` out of order across batches, and are put in order within a batch; one that is
+    older than the last alert fired never fires, and one older than the watermark is ignored.
+    """
+    check_range("minutes", minutes, 1)
+
+    def fold(keys, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        slots = np.unique(np.concatenate([f["minute"].to_numpy() for f in frames]))
+        fired = fires(slots, minutes, state.get[0] if state.exists else None)
+        if fired:
+            state.update((fired[-1],))
+        if state.exists:
+            silent_until = (state.get[0] + minutes) * 60_000
+            state.setTimeoutTimestamp(max(silent_until, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [keys[0]] * len(fired), "minute": np.array(fired, dtype=np.int64)})
+
+    kind = alerts.schema[key].dataType.simpleString()
+    slots = alerts.withWatermark("timestamp", delay).select(key, "timestamp", _minute(F.col("timestamp")).alias("minute"))
+    fired = slots.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, minute long", "last long", "append", "EventTimeTimeout")
+    return fired.withColumn("fired_at", F.timestamp_seconds(F.col("minute") * 60))
+
+
+def template_stats(templated: DataFrame, key: str = "template_hash") -> DataFrame:
+    """Count, span, hosts and trend of each template: events a day over its active days, and the busiest of them."""
+    days = templated.groupBy(key, "host", F.to_date("timestamp").alias("day")).agg(
+        rows().alias("n"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
     )
+    # a template's hosts and days are counted apart: each is a plain sum of what is left of the events
+    per_day = days.groupBy(key, "day").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    span = per_day.groupBy(key).agg(
+        F.sum("n").alias("event_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.count(F.lit(1)).alias("active_days"), F.max(F.struct("n", "day")).alias("peak"),
+    )
+    hosts = days.select(key, "host").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("hosts"))
+    return span.join(hosts, key).select(
+        key, "event_count", "first_seen", "last_seen", "hosts", "active_days",
+        F.round(F.col("event_count") / F.col("active_days"), 4).alias("per_active_day"), F.col("peak.n").alias("peak_n"), F.col("peak.day").alias("peak_day"),
+    )
 
 
 def context_bundle(incidents: DataFrame, templated: DataFrame, *, minutes: int = 30, top: int = 5) -> DataFrame:

@@ -141,6 +141,11 @@ def stats_by_rule(classified: DataFrame) -> DataFrame:
     )
 
 
+def batch_stats(classified: DataFrame) -> DataFrame:
+    """(drop_reason, n) of a batch, null for what is kept: a row for each rule that matched."""
+    return classified.groupBy("drop_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _counters() -> Iterable[Column]:
     return (
         F.count(F.lit(1)).alias("seen"),

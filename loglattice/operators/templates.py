@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import DEFAULT_VERSION, canon_hash, canonicalize, text_hash
 from ..functions.hashing import hash_to_id
-from ..schemas import DEFAULT_CHUNK_VERSION, LOG_TEMPLATES, conform
+from ..schemas import DEFAULT_CHUNK_VERSION
 
 KEYS = ["template_hash", "service", "level", "canonical_text", "canon_version"]
 
@@ -69,10 +69,6 @@ def build_templates(events: DataFrame, version: str = DEFAULT_VERSION) -> DataFr
     return roll_up(host_counts(with_template(events, version)))
 
 
-def to_table(templates: DataFrame) -> DataFrame:
-    return conform(templates, LOG_TEMPLATES)
-
-
 def new_templates(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """Candidates whose hash is not in the dimension."""
     return candidates.join(known.select("template_hash"), "template_hash", "left_anti")

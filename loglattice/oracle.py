@@ -344,7 +344,26 @@ def statements() -> dict[str, str]:
     s["backfill_stored"] = f"""WITH {T} SELECT count(*) FILTER (id % 7 = 0) AS processed,
       (SELECT count(DISTINCT template_hash) FROM t WHERE template_hash NOT IN
         (SELECT template_hash FROM t WHERE id % 7 <> 0)) AS new_templates,
-      count(*) FILTER (id % 7 = 0) AS linked, 0::BIGINT AS still_unlinked, count(*) AS counted_events FROM t"""
+      count(*) FILTER (id % 7 = 0) AS linked, 0::BIGINT AS failed, 0::BIGINT AS still_unlinked, count(*) AS counted_events FROM t"""
+    s["backfill_after_purge"] = f"""WITH {T}, f AS (SELECT template_hash, count(*) AS n FROM t WHERE id % 7 <> 0
+        GROUP BY template_hash HAVING max(timestamp) >= {CUTOFF_10}),
+      o AS (SELECT template_hash FROM t WHERE id % 7 = 0 AND timestamp >= {CUTOFF_10}),
+      c AS (SELECT CAST((SELECT coalesce(sum(n), 0) FROM f) AS BIGINT) AS before, (SELECT count(*) FROM o) AS due)
+      SELECT due AS processed, (SELECT count(DISTINCT template_hash) FROM o WHERE template_hash NOT IN (SELECT template_hash FROM f)) AS new_templates,
+             due AS linked, 0::BIGINT AS failed, 0::BIGINT AS still_unlinked, before AS counted_before, before + due AS counted_after,
+             0::BIGINT AS second_run, before + due AS counted_at_last FROM c"""
+    s["safety_net_stored"] = f"""WITH {T}, o AS (SELECT template_hash, row_number() OVER (ORDER BY id) <= 500 AS now FROM t WHERE id % 7 = 0)
+      SELECT count(*) FILTER (now) AS processed, count(DISTINCT template_hash) FILTER (now AND template_hash NOT IN
+               (SELECT template_hash FROM t WHERE id % 7 <> 0)) AS new_templates, count(*) FILTER (now) AS linked, 0::BIGINT AS failed,
+             count(*) FILTER (NOT now) AS still_unlinked, (SELECT count(*) FROM t WHERE id % 7 <> 0) + count(*) FILTER (now) AS counted_events FROM o"""
+    s["failed_batch_replay"] = f"""WITH {TA}, k AS (SELECT *, {LOG_HASH} AS log_hash FROM t WHERE {REASON} IS NULL)
+      SELECT count(DISTINCT log_hash) AS stored, count(DISTINCT template_hash) AS templates, 0::BIGINT AS counted_before,
+             count(DISTINCT log_hash) AS counted, 1::BIGINT AS kept, 1::BIGINT AS recovered, 0::BIGINT AS left FROM k"""
+    s["evolve_stored"] = f"""WITH {BASE}, d AS (SELECT id, service, timestamp, error_code, {DAY} AS event_date FROM logs)
+      SELECT id, service, CASE WHEN timestamp >= {HALF} THEN error_code END AS error_code, event_date, 1::BIGINT AS rows_after,
+             (SELECT count(DISTINCT event_date) FROM d WHERE timestamp >= {HALF}) AS rewritten, 'event_date,id,service' AS columns_after FROM d"""
+    s["catalog_views"] = f"""WITH {T}, u AS (SELECT level, template_hash, {LOG_HASH} AS log_hash FROM t)
+      SELECT level, count(DISTINCT template_hash) AS templates, count(DISTINCT log_hash) AS counted, count(DISTINCT log_hash) AS n FROM u GROUP BY level"""
     s["embed_missing_texts"] = f"""WITH {TA}, {dimension('d', 't')}, m AS (SELECT DISTINCT canon_hash, canonical_text FROM d
         WHERE canon_hash NOT IN (SELECT canon_hash FROM d WHERE level = 'ERROR')), {words('w', 'm', 'canon_hash', 'canonical_text')},
       n AS (SELECT canon_hash, sqrt(sum(c * c)) AS norm FROM w GROUP BY ALL)
@@ -374,12 +393,40 @@ def statements() -> dict[str, str]:
       r AS (SELECT template_hash, id, row_number() OVER (PARTITION BY template_hash ORDER BY timestamp DESC, id DESC) AS rn FROM t)
       SELECT template_hash AS template_id, canonical_text, event_count, round(sim, 6) + 0.0 AS similarity_score, rn - 1 AS rank,
              r.id AS event_id FROM hits JOIN r USING (template_hash) WHERE rn <= 3"""
+    once = f"u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {LOG_HASH} ORDER BY id) AS rn FROM t) WHERE rn = 1)"
+    asked = f"""ask AS (SELECT 1 AS k, {canon("'connection refused by 10.0.0.1:8080 pid=4242 after 3.5s'")} AS text), {words('a', 'ask', 'k', 'text')},
+      dots AS (SELECT template_hash, sum(w.c * a.c) AS dot FROM w JOIN a USING (pos) GROUP BY ALL),
+      norms AS (SELECT template_hash, sqrt(sum(c * c)) AS norm FROM w GROUP BY ALL), whole AS (SELECT sqrt(sum(c * c)) AS asked FROM a),
+      sims AS (SELECT d.*, coalesce(dot, 0) / (norm * asked) AS sim FROM d JOIN norms USING (template_hash) LEFT JOIN dots USING (template_hash), whole)"""
+    s["stored_search_logs"] = f"""WITH {T}, {once}, {dimension('d', 'u')}, {words('w', 'd', 'template_hash', 'canonical_text')}, {asked}
+      SELECT u.id, u.service, u.message, round(sim, 6) + 0.0 AS similarity_score FROM u JOIN sims USING (template_hash)
+      WHERE u.level = 'ERROR' AND u.timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND u.timestamp <= {END} ORDER BY round(sim, 6) DESC, u.id LIMIT 20"""
+    s["stored_search_templates"] = f"""WITH {T}, {once}, {dimension('d', 'u')}, {words('w', 'd', 'template_hash', 'canonical_text')}, {asked},
+      hits AS (SELECT * FROM sims ORDER BY round(sim, 6) DESC, template_hash LIMIT 10),
+      r AS (SELECT template_hash, id, row_number() OVER (PARTITION BY template_hash ORDER BY timestamp DESC, id DESC) AS n FROM u)
+      SELECT template_hash AS template_id, canonical_text, event_count, round(sim, 6) + 0.0 AS similarity_score, n - 1 AS rank,
+             r.id AS event_id FROM hits JOIN r USING (template_hash) WHERE n <= 3"""
+    s["reembed_new_model"] = f"""WITH {T}, c AS (SELECT count(DISTINCT canonical_text) AS n FROM t)
+      SELECT 'hashed-bow-' || dims AS embedding_model, n AS texts, dims, dims AS most_dims, n AS rows FROM c, (SELECT unnest([32, 64])::BIGINT AS dims)"""
+    s["nearest_by_index"] = f"""WITH p AS (SELECT tab, bit, list(1.0 - 2.0 * (ascii(sha256(tab || ':' || bit || ':' || dim)) % 2) ORDER BY dim) AS w
+        FROM range(8) x(tab), range(10) y(bit), range(64) z(dim) GROUP BY tab, bit),
+      s AS (SELECT vec_id, tab, bit, list_dot_product(embedding::DOUBLE[], w::DOUBLE[]) AS side FROM embeddings, p),
+      a AS (SELECT tab, bit, side > 0 AS own, row_number() OVER (PARTITION BY tab ORDER BY abs(side), bit) AS turn FROM s WHERE vec_id = 0),
+      m AS (SELECT vec_id, tab, max(CASE WHEN (side > 0) <> own THEN turn ELSE 0 END) AS loose FROM s JOIN a USING (tab, bit) GROUP BY vec_id, tab),
+      l AS (SELECT vec_id, min(loose) AS loose FROM m GROUP BY vec_id),
+      w AS (SELECT greatest(5, max(loose)) AS loose FROM (SELECT loose FROM l ORDER BY loose LIMIT 10)),
+      h AS (SELECT e.vec_id AS id, label, {DIST} AS d FROM embeddings e JOIN l USING (vec_id) WHERE l.loose <= (SELECT loose FROM w) ORDER BY d, id LIMIT 10)
+      SELECT id, label::BIGINT AS label, round(d, 6) + 0.0 AS distance FROM h"""
     s["embed_documents"] = f"""WITH {words('w', 'documents', 'doc_id', 'text')}
       SELECT d.doc_id, count(pos) AS support, round(CAST(coalesce(max(c) / sqrt(sum(c * c)), 0) AS FLOAT)::DOUBLE, 4) AS largest
       FROM documents d LEFT JOIN w USING (doc_id) GROUP BY ALL"""
     kept = f"kept AS (SELECT * FROM t WHERE {REASON} IS NULL)"
     s["stream_ingest"] = f"""WITH {T}, {kept}, {dimension('d', 'kept')}
       SELECT template_hash, event_count, first_seen, last_seen, source_hosts FROM d"""
+    s["stream_noise_stats"] = f"""WITH {BASE}, c AS (SELECT {REASON} AS drop_reason FROM logs) SELECT drop_reason, count(*) AS dropped FROM c
+      WHERE drop_reason IS NOT NULL GROUP BY ALL"""
+    s["stream_dedup_late"] = f"""WITH {BASE}, h AS (SELECT count(DISTINCT {LOG_HASH}) AS n FROM logs)
+      SELECT 'first' AS run, n AS passed, n AS stored FROM h UNION ALL SELECT 'second', n, 0 FROM h"""
     s["stream_journal"] = f"""WITH {BASE}, {JOURNAL}, k AS (SELECT DISTINCT service, level, timestamp, message FROM shipped
         WHERE {REASON} IS NULL)
       SELECT service, level, count(*) AS n, max(timestamp) AS newest FROM k GROUP BY ALL"""
@@ -441,6 +488,10 @@ def statements() -> dict[str, str]:
       SELECT template_hash, strftime(day, '%Y-%m-%d') AS day, n, round(CAST(s1 AS DOUBLE) / k, 6) + 0.0 AS mean,
              round(sqrt(CAST(k * s2 - s1 * s1 AS DOUBLE)) / k, 6) + 0.0 AS sigma FROM s
       WHERE k >= 3 AND (k * n - s1) * (k * n - s1) > 4 * (k * s2 - s1 * s1)"""
+    s["detect_template_stats"] = f"""WITH {T}, d AS (SELECT template_hash, {DAY} AS day, count(*) AS n FROM t GROUP BY ALL),
+      k AS (SELECT template_hash, count(*) AS active_days, max(n) AS peak_n, max({{'n': n, 'day': day}}).day AS peak_day FROM d GROUP BY ALL),
+      a AS (SELECT template_hash, count(*) AS event_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(DISTINCT host) AS hosts FROM t GROUP BY ALL)
+      SELECT a.*, active_days, round(event_count::DOUBLE / active_days, 4) AS per_active_day, peak_n, peak_day FROM a JOIN k USING (template_hash)"""
     s["detect_silence"] = f"""WITH {BASE}, h AS (SELECT DISTINCT service, date_trunc('hour', timestamp) AS hour FROM logs),
       f AS (SELECT service, min(hour) AS first FROM h GROUP BY service),
       spine AS (SELECT service, unnest(generate_series(first, {END}, INTERVAL 1 HOUR)) AS hour FROM f)
@@ -454,6 +505,7 @@ def statements() -> dict[str, str]:
       SELECT host, minute, a_count, b_following FROM w WHERE a_count > 0 AND b_following > 0"""
     s["detect_cooldown"] = f"""WITH RECURSIVE {BASE}, {COOLDOWN}
       SELECT service, minute, make_timestamp(minute * 60000000) AS fired_at FROM fired"""
+    s["stream_cooldown"] = s["detect_cooldown"]
     s["detect_context"] = f"""WITH RECURSIVE {T}, {COOLDOWN}, i AS (SELECT service || '@' || minute AS incident_id, service, minute AS at FROM fired),
       c AS (SELECT service, template_hash, {MINUTE} AS minute, count(*) AS n FROM t GROUP BY ALL),
       near AS (SELECT incident_id, template_hash, CAST(sum(n) AS BIGINT) AS n FROM c JOIN i ON i.service = c.service

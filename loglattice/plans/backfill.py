@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from ..operators import templates as tpl
 from ..operators.predicates import orphans
 from ..schemas import check_range
 from ..session import materialise
-from ..sources.tables import TAG, LogStore
+from ..sources.tables import COUNTS, TAG, LogStore
 
 
 def link(events: DataFrame, version: str = DEFAULT_VERSION, up_to_id: Column | None = None) -> DataFrame:
@@ -39,48 +40,60 @@ def orphan_cap(events: DataFrame, cap: int) -> Column:
     return first.agg(F.max("id").alias("id")).scalar()
 
 
-def backfill_templates(store: LogStore, *, version: str = DEFAULT_VERSION, cap: int | None = None) -> DataFrame:
-    """Link stored orphans and refresh the dimension; returns one row of run metrics.
+def backfill_templates(store: LogStore, *, run: str = "backfill", version: str = DEFAULT_VERSION, cap: int | None = None) -> DataFrame:
+    """Link stored orphans and add them to the dimension; returns one row of run metrics.
 
-    Only partitions holding an orphan are rewritten. The dimension is then counted afresh from
-    the stored events, which is right whatever an interrupted earlier run left behind.
+    Only partitions holding an orphan are rewritten. What the run links is counted once, before the rewrite, and
+    joins the dimension under a tag of its own: counts of events that retention has removed stay as they are. A
+    run that died half-way is ended first, from the plan it has left, so nothing is counted twice or missed.
     """
-    spark = store.spark
-    known = materialise(store.counts().select("template_hash").distinct(), "known-templates")
-    unlinked = orphans(store.events())
-    limit_id = None
+    if store.open_backfill() is None:
+        _plan_backfill(store, run, version, cap)
+    mark = store.open_backfill()
+    parts = store.spark.read.parquet(f"{store.backfill_path}/parts")
+    counts = store.spark.read.schema(COUNTS).parquet(f"{store.backfill_path}/counts")
+    limit_id = None if mark["limit_id"] is None else F.lit(mark["limit_id"])
+    known = store.counts([t for t in store.pending_tags() if t != mark["tag"]]).select("template_hash").distinct()
+    new = counts.select("template_hash").distinct().join(known, "template_hash", "left_anti")
+    if mark["processed"]:
+        touched = store.events().join(parts.select("event_date", TAG), ["event_date", TAG], "left_semi")
+        store.write_events(link(touched, mark["version"], limit_id))
+    left = orphans(store.events())
+    missed = left if limit_id is None else left.filter(F.col("id") <= limit_id)
+    missed = missed.join(parts.select("event_date", TAG), ["event_date", TAG], "left_semi")
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    metrics = store.spark.range(1).select(
+        F.lit(mark["processed"]).cast("long").alias("processed"), count(new).alias("new_templates"),
+        (F.lit(mark["processed"]) - count(missed)).alias("linked"), count(missed).alias("failed"), count(left).alias("still_unlinked"),
+    )
+    done = materialise(metrics, "backfill-metrics")
+    if mark["processed"]:
+        store.write_counts(counts, mark["tag"])
+    store.drop_folder(store.backfill_path)
+    return done
+
+
+def _plan_backfill(store: LogStore, run: str, version: str, cap: int | None) -> None:
+    """Write down what a run will link, and its counts; the mark comes last and makes the plan valid."""
+    spark, limit_id = store.spark, None
     if cap is not None:
-        # fixed as a constant: the rewrite below must not move it
-        limit_id = F.lit(spark.range(1).select(orphan_cap(store.events(), cap).alias("id")).first()["id"])
+        # a constant from here on: the rewrite must not move it
+        limit_id = spark.range(1).select(orphan_cap(store.events(), cap).alias("id")).first()["id"]
+    unlinked = orphans(store.events())
     due = unlinked if limit_id is None else unlinked.filter(F.col("id") <= limit_id)
-    # a partition list, as long as the table has (day, batch) folders; kept, since the rewrite empties it
-    parts = materialise(
-        due.groupBy("event_date", TAG).agg(F.count(F.lit(1)).alias("processed")), "orphan-partitions"
-    )
-    touched = store.events().join(parts.select("event_date", TAG), ["event_date", TAG], "left_semi")
-    store.write_events(link(touched, version, limit_id))
-    rebuild_templates(store)
-    after = store.counts().select("template_hash").distinct()
-    new = after.join(known, "template_hash", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    left = orphans(store.events()).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        parts.agg(F.coalesce(F.sum("processed"), F.lit(0)).alias("processed"))
-        .withColumn("new_templates", new.scalar())
-        .withColumn("linked", F.col("processed"))
-        .withColumn("still_unlinked", left.scalar())
-    )
+    # as long as the table has (day, batch) folders with orphans
+    per_part = due.groupBy("event_date", TAG).agg(F.count(F.lit(1)).alias("processed"))
+    per_part.write.mode("overwrite").parquet(f"{store.backfill_path}/parts")
+    new = link(due, version).filter(F.col("template_id").isNotNull()).withColumn("template_hash", F.col("template_id"))
+    tpl.host_counts(new).select(*COUNTS.names).write.mode("overwrite").parquet(f"{store.backfill_path}/counts")
+    total = spark.read.parquet(f"{store.backfill_path}/parts").agg(F.coalesce(F.sum("processed"), F.lit(0)).alias("n")).first()["n"]
+    mark = [(f"{run}-{uuid.uuid4().hex[:12]}", version, limit_id, total)]
+    spark.createDataFrame(mark, "tag string, version string, limit_id long, processed long").write.mode("overwrite").parquet(f"{store.backfill_path}/mark")
 
 
-def rebuild_templates(store: LogStore) -> int:
-    """Count the dimension afresh from all linked events, as a new snapshot."""
-    linked = store.events().filter(F.col("template_id").isNotNull())
-    counts = tpl.host_counts(linked.withColumn("template_hash", F.col("template_id")))
-    return store.write_snapshot(counts, store.pending_tags())
-
-
-def safety_net(store: LogStore, cap: int = 10_000, version: str = DEFAULT_VERSION) -> DataFrame:
+def safety_net(store: LogStore, cap: int = 10_000, version: str = DEFAULT_VERSION, run: str = "safety-net") -> DataFrame:
     """Capped catch-up run over the lowest orphan ids."""
-    return backfill_templates(store, version=version, cap=cap)
+    return backfill_templates(store, run=run, version=version, cap=cap)
 
 
 def missing_vectors(templates: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -92,7 +105,7 @@ def missing_vectors(templates: DataFrame, vectors: DataFrame) -> DataFrame:
 def embed_missing(
     templates: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column], model: str, tasks: int | None = None
 ) -> DataFrame:
-    """Vectors for all missing texts; failed texts are left out and stay missing. `tasks` caps concurrency."""
+    """Vectors for all texts missing in `vectors`; failed texts are left out and stay missing. `tasks` caps concurrency."""
     todo = missing_vectors(templates, vectors)
     if tasks is not None:
         todo = todo.coalesce(tasks)
@@ -102,8 +115,11 @@ def embed_missing(
 
 
 def backfill_vectors(store: LogStore, embed: Callable[[Column], Column], model: str, tasks: int | None = None) -> None:
-    """Embed and append; a run repeated after a failure picks up what is still missing, holes included."""
-    store.append_vectors(embed_missing(tpl.roll_up(store.counts()), store.vectors(), embed, model, tasks))
+    """Embed and append what `model` has no vector for; a new model embeds every text, beside the old vectors.
+
+    A run repeated after a failure picks up what is still missing, holes included.
+    """
+    store.append_vectors(embed_missing(tpl.roll_up(store.counts()), store.vectors(model), embed, model, tasks))
 
 
 def resume_points(events: DataFrame) -> DataFrame:

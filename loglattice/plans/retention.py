@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,11 +79,12 @@ def purge(store: LogStore, as_of: datetime, days: int = DEFAULT_DAYS, dry_run: b
 
 def purge_templates(store: LogStore, cutoff: datetime) -> None:
     """New snapshot without templates last seen before the cutoff."""
-    counts = store.counts()
+    pending = store.pending_tags()
+    counts = store.counts(pending)
     fresh = fresh_templates(
         counts.groupBy("template_hash").agg(F.max("last_seen").alias("last_seen")), cutoff
     )
-    store.write_snapshot(counts.join(fresh.select("template_hash"), "template_hash", "left_semi"), store.pending_tags())
+    store.write_snapshot(counts.join(fresh.select("template_hash"), "template_hash", "left_semi"), pending)
 
 
 def add_columns(df: DataFrame, fields: dict[str, T.DataType]) -> DataFrame:
@@ -95,3 +96,24 @@ def add_columns(df: DataFrame, fields: dict[str, T.DataType]) -> DataFrame:
 def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Rollback of an additive migration."""
     return df.drop(*names)
+
+
+def read_generations(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table whose files were written before and after columns were added; old rows have nulls there."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def drop_stored_columns(spark: SparkSession, path: str, names: list[str], key: str) -> int:
+    """Rollback on the table: partitions with files that hold one of the columns are rewritten without it.
+
+    Returns how many. A partition is replaced as a whole when the write commits, so a run that died is repeated.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    parts = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    # one name per partition
+    wide = [n for n in parts if n.startswith(f"{key}=") and set(names) & set(read_generations(spark, f"{path}/{n}").columns)]
+    if wide:
+        rows = spark.read.option("mergeSchema", True).option("basePath", path).parquet(*[f"{path}/{n}" for n in wide])
+        left = materialise(rows.drop(*names), "rolled-back")
+        left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    return len(wide)

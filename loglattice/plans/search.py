@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.canonical import DEFAULT_VERSION, canonicalize
+from ..functions.canonical import DEFAULT_VERSION, canonicalize, text_hash
 from ..operators.predicates import conjunction, event_predicate, having_vector, select_events
 from ..operators.templates import recent_examples
 from ..schemas import EVENT_COLUMNS, check_range
-from ..session import within_rows
+from ..sources.tables import LogStore
 
 VECTOR = "embedding_vector"
 
@@ -105,27 +103,79 @@ def search_templates(
     )
 
 
-class NeighbourIndex:
-    """Approximate neighbours: random-projection hashes of unit vectors, exact re-ranking."""
-
-    def __init__(self, table: DataFrame, *, column: str = VECTOR, id_column: str = "id",
-                 bucket_length: float = 0.5, tables: int = 8, seed: int = 42):
-        self.column, self.id_column = column, id_column
-        self.table = table
-        prepared = having_vector(table, column).withColumn("_unit", array_to_vector(V.unit(F.col(column))))
-        lsh = BucketedRandomProjectionLSH(
-            inputCol="_unit", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-        )
-        # fitting draws the random directions only; it needs the dimension, not the data
-        self.model = lsh.fit(prepared.limit(1))
-        self.hashed = self.model.transform(prepared)
-
-    def nearest(self, query: Sequence[float], k: int) -> DataFrame:
-        """k nearest among the rows sharing a bucket; an exact pass where too few do."""
-        size = sum(x * x for x in query) ** 0.5
-        unit = [x / size for x in query]
-        exact_query = V.literal(unit)
-        rough = self.model.approxNearestNeighbors(self.hashed, Vectors.dense(unit), k).drop("_unit", "_hashes", "distCol")
-        if within_rows(rough, k - 1):
-            return nearest(self.table, exact_query, k, column=self.column, id_column=self.id_column)
-        return nearest(rough, exact_query, k, column=self.column, id_column=self.id_column)
+class VectorIndex:
+    """A stored table of hash buckets: a query reads the buckets near its own and ranks what they hold exactly.
+
+    Each vector stands in one bucket of each of `tables` tables, with its components, so that a lookup needs
+    no other table. Files are laid out by table and bucket; the statistics of their row groups prune the scan.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        meta = spark.read.parquet(f"{self.path}/meta").first()
+        self.tables, self.bits, self.dims, self.id_column, self.column = (meta[c] for c in ("tables", "bits", "dims", "id_column", "vector_column"))
+
+    @classmethod
+    def build(cls, table: DataFrame, path: str, *, dims: int, column: str = VECTOR, id_column: str = "id", tables: int = 8, bits: int = 10) -> VectorIndex:
+        """Store the index of all vectors of `dims` components; null and zero vectors have no direction and are left out.
+
+        `bits` should grow with the logarithm of the rows: 2**bits buckets share a table.
+        """
+        spark, path = table.sparkSession, path.rstrip("/")
+        numbered = having_vector(table, column).withColumn("_buckets", V.bucket_numbers(tables, bits, dims)(F.col(column)))
+        some = numbered.filter(F.col("_buckets").isNotNull() & (V.norm(F.col(column)) > 0))
+        spread = some.select("*", F.posexplode("_buckets").alias("_table", "_bucket")).drop("_buckets")
+        (
+            spread.repartitionByRange("_table", "_bucket", F.xxhash64(id_column))
+            .sortWithinPartitions("_table", "_bucket")
+            .write.mode("overwrite").parquet(f"{path}/buckets")
+        )
+        meta = spark.createDataFrame([(tables, bits, dims, id_column, column)], "tables int, bits int, dims int, id_column string, vector_column string")
+        meta.write.mode("overwrite").parquet(f"{path}/meta")
+        return cls(spark, path)
+
+    def near(self, query: Sequence[float], loose: int) -> Column:
+        """Rows in a bucket that differs from the query's in its `loose` least certain bits at most."""
+        sides = np.einsum("d,tbd->tb", np.asarray(query, dtype=np.float64), V.projections(self.tables, self.bits, self.dims))
+        found = F.lit(False)
+        for t, side in enumerate(sides):
+            free = np.argsort(np.abs(side), kind="stable")[:loose]
+            own = int(sum(1 << b for b in range(self.bits) if side[b] > 0 and b not in free))
+            buckets = [own]
+            for b in free.tolist():
+                buckets += [x | 1 << b for x in buckets]
+            found = found | ((F.col("_table") == t) & F.col("_bucket").isin(sorted(buckets)))
+        return found
+
+    def candidates(self, query: Sequence[float], loose: int) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/buckets").filter(self.near(query, loose))
+        return rows.drop("_table", "_bucket").dropDuplicates([self.id_column])
+
+    def nearest(self, query: Sequence[float], k: int, probes: int = 5) -> DataFrame:
+        """The k nearest rows in the buckets that differ in the `probes` least certain bits of each table.
+
+        Where these hold fewer than k rows the lookup widens bit by bit, in the end to all buckets.
+        """
+        if len(query) != self.dims:
+            raise ValueError(f"the index holds vectors of {self.dims} components, got {len(query)}")
+        size = sum(float(x) ** 2 for x in query) ** 0.5
+        if not size:
+            raise ValueError("the query vector is zero")
+        loose = min(probes, self.bits)
+        while loose < self.bits and self.candidates(query, loose).select(self.id_column).limit(k).count() < k:
+            loose += 1
+        unit = V.literal([float(x) / size for x in query])
+        return nearest(self.candidates(query, loose), unit, k, column=self.column, id_column=self.id_column)
+
+
+def search_stored_logs(store: LogStore, unit_query: Column, model: str, *, limit: int = 20, **filters) -> DataFrame:
+    """Filtered log search on a store, over the vectors of one model.
+
+    Events carry no vector: those of one template share that of its text. So each text is compared once,
+    and the events that pass the filters take the score of theirs.
+    """
+    check_range("limit", limit, 1, 200)
+    scores = store.vectors(model).select("canon_hash", V.distance_to_unit(F.col(VECTOR), unit_query).alias("distance"))
+    wanted = select_events(store.events(), **filters).select(*EVENT_COLUMNS, text_hash(F.col("canonical_text")).alias("canon_hash"))
+    hits = wanted.join(scores.filter(F.col("distance").isNotNull()), "canon_hash").orderBy("distance", "id").limit(limit)
+    return hits.withColumn("similarity_score", V.similarity(F.col("distance"))).drop("distance", "canon_hash")

@@ -27,7 +27,7 @@ STATIC = {
 
 
 def local_session(name: str, cores: int, memory: str = "8g") -> SparkSession:
-    """Session for tests and benchmarks on one machine."""
+    """Session for tests and benchmarks on one machine, with a folder of its own for what is written between steps."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     settings = {
         **RECOMMENDED,
@@ -36,6 +36,7 @@ def local_session(name: str, cores: int, memory: str = "8g") -> SparkSession:
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="loglattice-"),
         # Python workers find the package wherever the session is started
         "spark.executorEnv.PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
     }
@@ -54,11 +55,10 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the cluster's `spark.checkpoint.dir`; a temporary one only where that is unset."""
+    """A new folder under the cluster's `spark.checkpoint.dir`, or beside the warehouse, which is shared as well."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="loglattice-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 

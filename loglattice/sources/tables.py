@@ -6,6 +6,9 @@
 * `vectors`                           one vector per distinct canonical text and model.
 * `dead_letter/ingest_tag=T`          rejected records as JSON lines.
 * `dead_letter_replays`               which of those batches have been replayed.
+* `failed/ingest_tag=T`               batches that were not ingested, whole, with the error; replayed under their tag.
+* `noise_stats/ingest_tag=T`          records per noise rule of each shipped batch.
+* `open_backfill`                     what a backfill that has not ended links: partitions, counts, and a mark.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ VECTORS = T.StructType(
     ]
 )
 TAG = "ingest_tag"
+STATS = T.StructType([T.StructField("drop_reason", T.StringType()), T.StructField("n", T.LongType()), T.StructField(TAG, T.StringType())])
 REPLAYS = T.StructType([T.StructField(TAG, T.StringType()), T.StructField("replayed_by", T.StringType())])
 
 
@@ -60,6 +64,9 @@ class LogStore:
         self.vectors_path = f"{self.root}/vectors"
         self.dead_letter_path = f"{self.root}/dead_letter"
         self.replays_path = f"{self.root}/dead_letter_replays"
+        self.failed_path = f"{self.root}/failed"
+        self.stats_path = f"{self.root}/noise_stats"
+        self.backfill_path = f"{self.root}/open_backfill"
 
     # ---- file system ---------------------------------------------------------------------------
 
@@ -143,13 +150,18 @@ class LogStore:
         done = {r[0] for r in absorbed.collect()} if absorbed is not None else set()
         return [t for t in tags if t not in done]
 
-    def counts(self) -> DataFrame:
-        """Template counts per host over all batches."""
+    def open_backfill(self):
+        """The mark of a backfill that has not ended, or None; it is written after all that belongs to it."""
+        path = f"{self.backfill_path}/mark"
+        return self.spark.read.parquet(path).first() if "_SUCCESS" in self.children(path) else None
+
+    def counts(self, pending: list[str] | None = None) -> DataFrame:
+        """Template counts per host over all batches; `pending` is the list of open batches, if it was taken before."""
         parts = []
         version = self.snapshot_version()
         if version:
             parts.append(self.spark.read.schema(COUNTS).parquet(f"{self.snapshots_path}/version={version}"))
-        pending = self.pending_tags()
+        pending = self.pending_tags() if pending is None else pending
         if pending:
             paths = [f"{self.counts_path}/{TAG}={t}" for t in pending]
             parts.append(self.spark.read.schema(COUNTS).parquet(*paths))
@@ -157,18 +169,13 @@ class LogStore:
             return self.spark.createDataFrame([], COUNTS)
         return tpl.merge_counts(*parts)
 
-    def templates(self) -> DataFrame:
-        """The dimension with its vectors; a text not embedded yet has a null vector."""
-        vectors = self.vectors().groupBy("canon_hash").agg(
-            F.max(F.struct("embedding_model", "embedding_vector")).alias("v")
-        )
+    def templates(self, model: str | None = None) -> DataFrame:
+        """The dimension, with the vectors of one model; a text it has not embedded yet has a null vector."""
+        vectors = self.vectors(model) if model else self.spark.createDataFrame([], VECTORS)
         return (
             tpl.roll_up(self.counts())
             .join(vectors, "canon_hash", "left")
-            .withColumn("embedding_vector", F.col("v.embedding_vector"))
-            .withColumn("embedding_model", F.col("v.embedding_model"))
             .withColumn("embedding_dim", F.size("embedding_vector"))
-            .drop("v")
         )
 
     def write_snapshot(self, counts: DataFrame, tags: list[str]) -> int:
@@ -183,16 +190,21 @@ class LogStore:
 
     def compact_templates(self) -> int:
         """Fold pending batches into one snapshot, so reading the dimension stays cheap."""
+        # listed once: a batch that lands meanwhile stays pending
         pending = self.pending_tags()
-        version = self.write_snapshot(self.counts(), pending)
+        version = self.write_snapshot(self.counts(pending), pending)
         for tag in pending:
             self.drop_folder(f"{self.counts_path}/{TAG}={tag}")
         return version
 
     # ---- vectors and dead letters --------------------------------------------------------------
 
-    def vectors(self) -> DataFrame:
-        return self._read(self.vectors_path, VECTORS)
+    def vectors(self, model: str | None = None) -> DataFrame:
+        """Vectors of one model or of all, one for each text and model however often it was appended."""
+        found = self._read(self.vectors_path, VECTORS)
+        if model is not None:
+            found = found.filter(F.col("embedding_model") == model)
+        return found.dropDuplicates(["canon_hash", "embedding_model"])
 
     def append_vectors(self, vectors: DataFrame) -> None:
         vectors.select(*VECTORS.names).write.mode("append").parquet(self.vectors_path)
@@ -200,6 +212,25 @@ class LogStore:
     def spool(self, rejected: DataFrame, tag: str) -> None:
         deadletter.spool(rejected, f"{self.dead_letter_path}/{TAG}={tag}", mode="overwrite")
 
+    def spool_failed(self, events: DataFrame, tag: str, error: str) -> None:
+        """Keep a batch that could not be ingested, and why."""
+        deadletter.spool(events.withColumn("errors", F.array(F.lit(error))), f"{self.failed_path}/{TAG}={tag}", mode="overwrite")
+
+    def failed_tags(self) -> list[str]:
+        """Batches to ingest again: rare, so their names are few."""
+        names = [n for n in self.children(self.failed_path) if n.startswith(f"{TAG}=")]
+        return [n.split("=", 1)[1] for n in names if "_SUCCESS" in self.children(f"{self.failed_path}/{n}")]
+
+    def failed_batch(self, tag: str) -> DataFrame:
+        return deadletter.read_spool(self.spark, f"{self.failed_path}/{TAG}={tag}")
+
+    def write_stats(self, stats: DataFrame, tag: str) -> None:
+        stats.select("drop_reason", "n").write.mode("overwrite").parquet(f"{self.stats_path}/{TAG}={tag}")
+
+    def stats(self) -> DataFrame:
+        """(drop_reason, n, ingest_tag): records of each batch per rule, null for those kept."""
+        return self._read(self.stats_path, STATS)
+
     def replays(self) -> DataFrame:
         """Which batch of dead letters was replayed by which run."""
         return self._read(self.replays_path, REPLAYS)
@@ -212,3 +243,11 @@ class LogStore:
         schema = T.StructType([*DEAD_LETTER.fields, T.StructField(TAG, T.StringType())])
         letters = self._read(self.dead_letter_path, schema, "json")
         return letters.join(self.replays().select(TAG), TAG, "left_anti")
+
+    # ---- views -----------------------------------------------------------------------------------
+
+    def register(self, prefix: str = "") -> None:
+        """SQL views `log_events`, `log_templates` and `log_vectors` of what the store holds at the time of a query."""
+        self.events().createOrReplaceTempView(f"{prefix}log_events")
+        self.templates().createOrReplaceTempView(f"{prefix}log_templates")
+        self.vectors().createOrReplaceTempView(f"{prefix}log_vectors")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from contextlib import contextmanager
 
@@ -11,13 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.canonical import DEFAULT_VERSION
+from ..operators import dedup, noise
 from ..operators.noise import NoiseConfig
 from ..plans.ingest import FEW_ROWS, ingest
 from ..session import within_rows
-from ..sources import journald
-from ..sources.tables import LogStore
+from ..sources import deadletter, journald
+from ..sources.tables import TAG, LogStore
 
 RETRY_AFTER_SECONDS = 5
+log = logging.getLogger(__name__)
 
 
 @contextmanager
@@ -40,7 +43,10 @@ def ship_batch(
     version: str = DEFAULT_VERSION,
     retry_after: float = RETRY_AFTER_SECONDS,
 ) -> None:
-    """Ingest one micro-batch, once more after a pause if it fails, then spool it for replay."""
+    """Ingest one micro-batch, once more after a pause if it fails, then keep it whole for `recover`.
+
+    Records per noise rule go to the store's statistics under the tag of the batch.
+    """
     if unreadable is not None:
         raw = unreadable.select(F.col("value").alias("raw"), F.array("parse_error").alias("errors"))
         store.spool(raw, f"{tag}-unreadable")
@@ -48,12 +54,33 @@ def ship_batch(
         try:
             few = within_rows(events, FEW_ROWS)
             ingest(events, store, tag, config=config, version=version, few=few)
+            classified = noise.classify(events, config) if config else events.withColumn("drop_reason", F.lit(None).cast("string"))
+            store.write_stats(noise.batch_stats(classified), tag)
             return
+        except Exception as error:
+            log.warning("batch %s was not ingested, attempt %d", tag, attempt, exc_info=True)
+            failure = f"{type(error).__name__}: {error}"[:2000]
+            if attempt == 1:
+                time.sleep(retry_after)
+    store.spool_failed(events, tag, failure)
+
+
+def recover(store: LogStore, **options) -> list[str]:
+    """Ingest the batches that failed before, each under its own tag, and return the tags that went through.
+
+    Under its tag a batch replaces what its first attempts have written, so events and counts agree however far
+    they came. A batch that fails again stays where it is.
+    """
+    done = []
+    for tag in store.failed_tags():
+        try:
+            ingest(deadletter.unpack(store.failed_batch(tag)), store, tag, **options)
         except Exception:
-            if attempt == 2:
-                break
-            time.sleep(retry_after)
-    store.spool(events, f"{tag}-failed")
+            log.warning("batch %s failed again", tag, exc_info=True)
+            continue
+        store.drop_folder(f"{store.failed_path}/{TAG}={tag}")
+        done.append(tag)
+    return done
 
 
 def ship_events(
@@ -66,8 +93,15 @@ def ship_events(
     version: str = DEFAULT_VERSION,
     available_now: bool = True,
     interval: str = "10 seconds",
+    distinct_for: str | None = None,
 ) -> StreamingQuery:
-    """Ship a stream of events that are already in the event schema."""
+    """Ship a stream of events that are already in the event schema, after batches that failed in an earlier run.
+
+    With `distinct_for` copies that arrive within that time of each other are dropped before they are shipped.
+    """
+    recover(store, config=config, version=version)
+    if distinct_for is not None:
+        stream = distinct_within(stream, distinct_for)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # the tag repeats with the batch id, so a batch run again replaces its own output
@@ -92,6 +126,7 @@ def ship_journal(
     max_files: int | None = None,
 ) -> StreamingQuery:
     """Follow a folder of journald JSON files; the checkpoint remembers what has been read."""
+    recover(store, config=config, version=version)
     parsed = journald.parse(journald.stream_lines(spark, folder, max_files))
     counted = parsed.observe(
         f"{name}-lines",
@@ -117,8 +152,11 @@ def _start(stream, handle, checkpoint, name, available_now, interval) -> Streami
 
 
 def distinct_within(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Cheap first line against duplicates: state is bounded by the watermark.
+    """Cheap first line against duplicates: state is bounded by the time for which arrivals are remembered.
 
-    Later copies still pass here and are caught against the stored events.
+    The watermark is on the time of arrival, so no record is ever late and none is lost. A copy that arrives
+    after its first has been forgotten passes here and is caught against the stored events.
     """
-    return stream.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["log_hash"])
+    hashed = dedup.with_identity(stream).withColumn("_arrived", F.current_timestamp())
+    first = hashed.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["event_date", "log_hash"])
+    return first.select(*stream.columns)

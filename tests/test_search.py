@@ -46,17 +46,37 @@ def test_pairwise_distance_and_range(points):
     assert [r.d for r in odd.collect()] == [None, None]
 
 
-def test_index_recall_and_fallback(points):
-    index = search.NeighbourIndex(points.filter("id <> 901"))
+def test_index_recall(points, tmp_path):
+    index = search.VectorIndex.build(points, str(tmp_path / "index"), dims=16)
     hits = total = 0
-    for i in range(0, 50, 10):
-        found = {r.id for r in index.nearest(POINTS[i].tolist(), 10).collect()}
-        hits += len(found & set(np.argsort(exact(POINTS[i].astype(np.float64)))[:10].tolist()))
-        total += 10
-        assert len(found) == 10
-    assert hits / total >= 0.7
-    sparse = search.NeighbourIndex(points.filter("id <> 901"), bucket_length=1e-4, tables=1)
-    assert [r.id for r in sparse.nearest(POINTS[0].tolist(), 10).collect()] == list(np.argsort(exact(POINTS[0].astype(np.float64)))[:10])
+    for i in range(0, 100, 10):
+        found = [r.id for r in index.nearest(POINTS[i].tolist(), 10).collect()]
+        want = np.argsort(exact(POINTS[i].astype(np.float64)))[:10].tolist()
+        hits, total = hits + len(set(found) & set(want)), total + 10
+        assert len(found) == len(set(found)) == 10 and found[0] == i
+    assert hits >= 0.9 * total
+
+
+def test_index_reads_its_buckets_only(points, spark, tmp_path):
+    path = str(tmp_path / "index")
+    search.VectorIndex.build(points, path, dims=16, tables=4, bits=6)
+    index = search.VectorIndex(spark, path)  # opened again
+    assert (index.tables, index.bits, index.dims) == (4, 6, 16)
+    few = index.candidates(POINTS[0].tolist(), 1)
+    assert 0 < few.count() < 100 and "PushedFilters: [Or(" in plan_of(few).replace("\n", "")
+    everything = index.candidates(POINTS[0].tolist(), 6)
+    assert everything.count() == 300  # no null, no zero vector
+    # too few in the buckets at first: the lookup widens until k rows are met
+    assert index.nearest(POINTS[0].tolist(), 300, probes=0).count() == 300
+    for bad in ([0.0] * 16, [1.0] * 3):
+        with pytest.raises(ValueError):
+            index.nearest(bad, 3)
+
+
+def test_buckets_do_not_depend_on_neighbours(points):
+    number = V.bucket_numbers(4, 6, 16)(F.col("embedding_vector"))
+    one, many = (dict(map(tuple, points.repartition(n).select("id", F.array_join(number, ",")).collect())) for n in (1, 7))
+    assert one == many and one[900] is None
 
 
 def test_codec_round_trip(points):

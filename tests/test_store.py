@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import vectors as V
 from loglattice.operators import dedup, noise, templates as tpl, validate
-from loglattice.plans import backfill, ingest, retention
+from loglattice.plans import backfill, ingest, retention, search
 from loglattice.sources.tables import LogStore
 from loglattice.streaming import shipper
 
@@ -127,19 +127,65 @@ def test_backfill_links_orphans_and_counts(store, make_events):
     assert (run.processed, run.new_templates, run.still_unlinked) == (5, 1, 0)
     assert store.templates().agg(F.sum("event_count")).first()[0] == 7
     again = backfill.backfill_templates(store).first()
-    assert (again.processed, again.new_templates) == (0, 0)
+    assert (again.processed, again.new_templates, again.linked, again.failed) == (0, 0, 0, 0)
+
+
+def test_backfill_that_died_is_ended_once(store, make_events, monkeypatch):
+    rows = [{"id": i, "timestamp": at(i * 700), "message": f"pid={i} up"} for i in range(6)]
+    store.write_events(dedup.with_identity(make_events(*rows)), "legacy")
+    for broken in ("write_events", "write_counts"):  # before the rewrite, and after it
+        with monkeypatch.context() as patch:
+            patch.setattr(store, broken, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                backfill.backfill_templates(store)
+        assert store.open_backfill() is not None
+    assert backfill.backfill_templates(store).first().still_unlinked == 0
+    assert store.open_backfill() is None and store.templates().agg(F.sum("event_count")).first()[0] == 6
+
+
+def test_a_batch_that_lands_during_a_fold_stays_pending(store, make_events, monkeypatch):
+    ingest.ingest(make_events({"message": "one"}), store, "a")
+    plain = LogStore.counts
+
+    def slow(self, pending=None):
+        found = plain(self, pending)
+        if not self.children(f"{self.counts_path}/ingest_tag=late"):
+            store.write_counts(found, "late")
+        return found
+
+    monkeypatch.setattr(LogStore, "counts", slow)
+    store.compact_templates()
+    monkeypatch.undo()
+    assert store.pending_tags() == ["late"] and store.templates().first().event_count == 2
 
 
 def test_vector_backfill_fills_holes(store, make_events):
     ingest.ingest(make_events({"message": "alpha beta"}, {"message": "gamma"}, {"message": "!!!"}), store, "a")
     flaky = V.model_embedder(lambda texts: [None if t == "gamma" else [1.0, 0.0] for t in texts])
     backfill.backfill_vectors(store, flaky, "m1")
-    assert store.templates().filter("embedding_vector IS NULL").first().canonical_text == "gamma"
+    assert store.templates("m1").filter("embedding_vector IS NULL").first().canonical_text == "gamma"
     backfill.backfill_vectors(store, V.hashed_bag_of_words(2), "m1")
-    assert store.templates().filter("embedding_vector IS NULL").count() == 0
+    assert store.templates("m1").filter("embedding_vector IS NULL").count() == 0
     assert store.vectors().count() == 3
 
 
+def test_vectors_of_models_stay_apart(spark, store, make_events):
+    rows = [{"id": 1, "message": "disk full"}, {"id": 2, "message": "user in", "level": "ERROR"}, {"id": 3, "message": "disk full", "host": "n2"}]
+    ingest.ingest(make_events(*rows), store, "a")
+    for model, size in (("z-old", 16), ("a-new", 4), ("a-new", 4)):
+        backfill.backfill_vectors(store, V.hashed_bag_of_words(size), model)
+    assert store.vectors().count() == 4 and store.vectors("a-new").count() == 2
+    assert {r.embedding_dim for r in store.templates("a-new").collect()} == {4}
+    assert store.templates().filter("embedding_vector IS NOT NULL").count() == 0
+    store.append_vectors(store.vectors("a-new"))  # two runs at the same time
+    assert store.templates("a-new").count() == 2
+    unit = search.query_vector(spark, "disk full", V.hashed_bag_of_words(16))
+    hits = search.search_stored_logs(store, unit, "z-old", limit=2).collect()
+    assert [h.id for h in hits] == [1, 3] and hits[0].similarity_score > 0.99
+    assert [h.id for h in search.search_stored_logs(store, unit, "z-old", level="ERROR").collect()] == [2]
+    assert search.search_stored_logs(store, unit, "nobody").count() == 0
+
+
 def test_retention_keeps_plus_deletes_all(store, make_events):
     rows = [{"timestamp": at(i * 360), "message": f"m{chr(97 + i)}"} for i in range(20)]
     ingest.ingest(make_events(*rows[::2]), store, "a")
@@ -200,10 +246,74 @@ def test_failed_batch_is_spooled_and_can_be_replayed(make_events, store, monkeyp
 
     monkeypatch.setattr(shipper, "ingest", broken)
     shipper.ship_batch(make_events({}, {"message": "two"}), None, store, "t", retry_after=0)
-    assert len(calls) == 2 and store.events().count() == 0
+    assert len(calls) == 2 and store.events().count() == 0 and shipper.recover(store) == []
+    assert store.failed_tags() == ["t"] and "storage away" in store.failed_batch("t").first().logs[0].errors[0]
     monkeypatch.undo()
-    assert counters(ingest.replay(store, "again"))["ingested"] == 2
-    assert store.dead_letters().count() == 0
+    assert shipper.recover(store) == ["t"] and shipper.recover(store) == []
+    assert store.events_of("t").count() == 2 and store.templates().agg(F.sum("event_count")).first()[0] == 2
+
+
+def test_batch_that_failed_half_way_is_counted(make_events, store, monkeypatch):
+    """Events were written, counts were not: the replay under the same tag brings them together."""
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "write_counts", lambda *a: (_ for _ in ()).throw(RuntimeError("full")))
+        shipper.ship_batch(make_events({}, {"message": "two"}), None, store, "t", retry_after=0)
+    assert store.events().count() == 2 and store.templates().count() == 0
+    assert shipper.recover(store) == ["t"]
+    assert store.events().count() == 2 and store.templates().agg(F.sum("event_count")).first()[0] == 2
+
+
+def test_cooldown_is_linear_and_equals_the_definition(spark):
+    import random
+    import time
+
+    from loglattice.operators import detect
+
+    draw = random.Random(1)
+    minutes = {k: sorted({draw.randrange(4000) for _ in range(300)}) for k in "ab"} | {"c": list(range(0, 525_600))}
+    start = time.perf_counter()
+    assert len(detect.fires(__import__("numpy").array(minutes["c"]), 30)) == 17_520
+    assert time.perf_counter() - start < 2
+    rows = [(k, T0 + timedelta(minutes=m)) for k in "ab" for m in minutes[k] for _ in range(2)]
+    alerts = spark.createDataFrame(rows, "service string, timestamp timestamp")
+    got = {(r.service, r.minute) for r in detect.cooldown(alerts, key="service", minutes=30).collect()}
+    zero, want = int(T0.timestamp()) // 60, set()
+    for k in "ab":
+        last = None
+        for m in minutes[k]:
+            if last is None or m - last >= 30:
+                want.add((k, zero + m))
+                last = m
+    assert got == want and len(want) > 150
+
+
+def test_cooldown_stream_equals_batch(spark, tmp_path):
+    from loglattice.operators import detect
+
+    rows = [("a", at(m)) for m in (0, 3, 29, 30, 31, 95, 96, 300)] + [("b", at(m)) for m in (10, 45, 61)]
+    alerts = spark.createDataFrame(rows, "service string, timestamp timestamp")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for low, high in ((0, 30), (30, 96), (96, 400)):
+        part = alerts.filter((F.col("timestamp") >= F.lit(at(low))) & (F.col("timestamp") < F.lit(at(high))))
+        part.coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):  # the second start finds nothing new
+        stream = spark.readStream.schema(alerts.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        fired = detect.cooldown_stream(stream, key="service", minutes=30)
+        fired.writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("parquet").trigger(availableNow=True).start(out).awaitTermination()
+    got = sorted((r.service, r.minute) for r in spark.read.parquet(out).collect())
+    assert got == sorted((r.service, r.minute) for r in detect.cooldown(alerts, key="service", minutes=30).collect())
+
+
+def test_stored_columns_roll_back(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "x")], "id int, day string").write.partitionBy("day").parquet(path)
+    spark.createDataFrame([(2, "e", "y"), (3, None, "z")], "id int, code string, day string").write.mode("append").partitionBy("day").parquet(path)
+    both = {r.id: r.code for r in retention.read_generations(spark, path).collect()}
+    assert both == {1: None, 2: "e", 3: None}
+    assert retention.drop_stored_columns(spark, path, ["code"], "day") == 2
+    after = retention.read_generations(spark, path)
+    assert after.columns == ["id", "day"] and sorted(r.id for r in after.collect()) == [1, 2, 3]
+    assert retention.drop_stored_columns(spark, path, ["code"], "day") == 0
 
 
 def test_validate_then_outcome(batch):
