@@ -296,7 +296,7 @@ def bands(rows: DataFrame, width: float) -> DataFrame:
     return run.groupBy(F.col("lang").alias("_lang")).agg(*at).select("_lang", (F.col("q2") - spread).alias("low"), (F.col("q2") + spread).alias("high"))
 
 
-def judged(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), width: float = 8.0, **sizes) -> DataFrame:
+def judged(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), width: float = 4.0, **sizes) -> DataFrame:
     """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, milli, low, high, kept).
 
     row holds the columns to carry. Words are what stands between blanks (space, and \\t to \\r). A text fails

@@ -129,7 +129,7 @@ bp0 AS (SELECT 0 AS g, b0.r, doc_id, leaf, cur, proof, b0.h AS subroot FROM ap{l
 SELECT doc_id, leaf, subroot, (SELECT h FROM b{upper}) AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = (SELECT h FROM b{upper}) AS verified FROM bp{upper}"""
 
 
-def perplexity_sql(order: int = perplexity.ORDER, width: float = 8.0) -> str:
+def perplexity_sql(order: int = perplexity.ORDER, width: float = 4.0) -> str:
     """Bytes are pairs of hexadecimal digits; texts are cut into chunks first, as taking pieces of long ones is slow."""
     discount = lambda i: f"coalesce(CASE WHEN n{i} > 0 AND n{i + 1} > 0 THEN least(greatest({i} - {i + 1} * (n1 / (n1 + 2 * n2)) * n{i + 1} / n{i}, 0.0), {i}.0::DOUBLE) END, {i}::DOUBLE / 2) AS d{i}"
     parts = []
