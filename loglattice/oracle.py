@@ -47,13 +47,17 @@ _CLICK = [
     f"""{_LOKI}compactor.go:' || {_N} % 300 || ' msg="compacting table" table=index_' || {_N}""",
     f"""{_LOKI}checkpoint.go:' || {_N} % 200 || ' msg=done elapsed=' || {_N} % 70 || '.5s'""",
     f"""{_LOKI}main.go:' || {_N} % 100 || ' msg=starting node=' || {_U}""",
-    f"""'[BATCH] Sending ' || {_N} || ' logs to API'""",
+    f"""'[BATCH] Sending ' || {_N} || ' records downstream'""",
 ]
 _SIGNUP = [
     f"'pam_unix(sshd:session): session opened for user u' || {_U} || '(uid=' || {_U} || ')'",
     f"'session-' || {_N} || '.scope: Consumed ' || {_N} % 60 || '.' || {_N} % 10 || 's CPU time.'",
-    f"'CRON[' || {_N} || ']: (root) CMD (/usr/local/bin/backup.sh ' || {_U} || ')'",
+    f"'CRON[' || {_N} || ']: (root) CMD (/opt/jobs/rotate ' || {_U} || ')'",
     f"'veth' || {pad(f'{_N} % 9000 + 1000', 7)} || ': Link UP'",
+    f"'2024-01-01 08:30:00,' || {_N} % 900 || ' - hub.tasks - INFO - change ' || {_N}",
+    f"'Closed session ' || {_N} || ' on seat ' || {_U}",
+    f"'neighbour fd00:' || lower(to_hex({_N} % 9999)) || ':0:0:9:' || {_U} || ':7 is stale'",
+    f"'   lease renewed at 2024-01-02T03:04:05.' || {_N} || 'Z for 0a:1b:2c:3d:4e:' || lpad(lower(to_hex({_U} % 256)), 2, '0') || ' '",
 ]
 _ERROR = [
     f"'connection refused by 10.0.' || {_U} % 200 || '.' || {_N} % 250 || ':8080 pid=' || ({_N} + 1000) || ' request ' || "

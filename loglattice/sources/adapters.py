@@ -23,13 +23,17 @@ _CLICK = (
     _LOKI + """compactor.go:' || n % 300 || ' msg="compacting table" table=index_' || n""",
     _LOKI + """checkpoint.go:' || n % 200 || ' msg=done elapsed=' || n % 70 || '.5s'""",
     _LOKI + """main.go:' || n % 100 || ' msg=starting node=' || u""",
-    "'[BATCH] Sending ' || n || ' logs to API'",
+    "'[BATCH] Sending ' || n || ' records downstream'",
 )
 _SIGNUP = (
     "'pam_unix(sshd:session): session opened for user u' || u || '(uid=' || u || ')'",
     "'session-' || n || '.scope: Consumed ' || n % 60 || '.' || n % 10 || 's CPU time.'",
-    "'CRON[' || n || ']: (root) CMD (/usr/local/bin/backup.sh ' || u || ')'",
+    "'CRON[' || n || ']: (root) CMD (/opt/jobs/rotate ' || u || ')'",
     "'veth' || lpad(string(n % 9000 + 1000), 7, '0') || ': Link UP'",
+    "'2024-01-01 08:30:00,' || n % 900 || ' - hub.tasks - INFO - change ' || n",
+    "'Closed session ' || n || ' on seat ' || u",
+    "'neighbour fd00:' || lower(hex(n % 9999)) || ':0:0:9:' || u || ':7 is stale'",
+    "'   lease renewed at 2024-01-02T03:04:05.' || n || 'Z for 0a:1b:2c:3d:4e:' || lpad(lower(hex(u % 256)), 2, '0') || ' '",
 )
 _ERROR = (
     "'connection refused by 10.0.' || u % 200 || '.' || n % 250 || ':8080 pid=' || (n + 1000) || ' request '"
