@@ -4,8 +4,8 @@ Method. Spark counts the n-grams of all documents per language and makes a modif
 below the highest order an n-gram counts by the symbols seen before it, and discounts for counts of one, two and
 more come from the counts of counts of the order. Symbols are bytes, so an n-gram of `ORDER` bytes is its own
 perfect hash, a number of 40 bits, and the model is a table of sorted hash arrays with the bits each n-gram costs
-in its context. A language's documents have a band of bits per byte around their median; outside of it a
-document is rejected. So is one that fails the plain rules.
+in its context. A document's perplexity is two to the power of its bits per word; a language's documents have a
+band of them around their median, and outside of it a document is rejected. So is one that fails the plain rules.
 
 The model grows with the corpus and is never broadcast or collected. Documents are dealt to blocks of bounded
 size by a hash; a block asks for its own distinct n-grams, part by part, and gets their bits back as arrays. The
@@ -202,7 +202,7 @@ def dealt(docs: DataFrame, carry: tuple[str, ...], blocks: int) -> DataFrame:
 
 
 def scored(docs: DataFrame, carry: tuple[str, ...], block_bytes: int = 16 << 20, part_grams: int = 400_000, slice_blocks: int = 256) -> DataFrame:
-    """(row, lang, stats..., milli): per row the columns to carry, its base rules and thousandths of a bit per byte.
+    """(row, lang, stats..., milli): per row the columns to carry, its base rules and thousandths of a bit per word.
 
     milli is null for a text without words. The sizes bound what one task holds, and change no result.
     """
@@ -262,7 +262,8 @@ def scored(docs: DataFrame, carry: tuple[str, ...], block_bytes: int = 16 << 20,
         for full in texts_of(table):
             asked, starts = grams(full)
             cost = np.add.reduceat(bits[np.searchsorted(keys, asked)], starts)
-            rates.append(np.floor(1000 * cost / np.diff(np.append(starts, len(asked))) + 0.5).astype(np.int64))
+            words = np.array([t.count(b" ") + 1 for t in full])
+            rates.append(np.floor(1000 * cost / words + 0.5).astype(np.int64))
         flat = {c: table.column(c).combine_chunks().flatten() for c in ("rows", *STATS, "sizes")}
         some = np.flatnonzero(flat["sizes"].to_numpy() > 0)
         milli, none = np.zeros(len(flat["sizes"]), dtype=np.int64), np.ones(len(flat["sizes"]), dtype=bool)

@@ -150,7 +150,7 @@ h AS (SELECT k, lang, '{"00" * (order - 1)}' || hex(encode(array_to_string(w, '
 z AS (SELECT k, lang, substr(h, CAST(512 * c + 1 AS BIGINT), {512 + 2 * order - 2}) AS h FROM (SELECT *, unnest(range((len(h) - {2 * order - 2} + 511) // 512)) AS c FROM h)),
 o AS MATERIALIZED (SELECT k, lang, substr(h, CAST(2 * i + 1 AS BIGINT), {2 * order}) AS g FROM (SELECT *, unnest(range((len(h) - {2 * order - 2}) // 2)) AS i FROM z)),
 c{order} AS MATERIALIZED (SELECT lang, g, count(*) AS n FROM o GROUP BY ALL), {", ".join(parts)},
-m AS (SELECT k, CAST(floor(1000 * sum((-log2(p))::FLOAT::DOUBLE) / count(*) + 0.5) AS BIGINT) AS milli FROM o JOIN p{order} USING (lang, g) GROUP BY k),
+m AS (SELECT k, CAST(floor(1000 * sum((-log2(p))::FLOAT::DOUBLE) / any_value(len(w)) + 0.5) AS BIGINT) AS milli FROM o JOIN p{order} USING (lang, g) JOIN (SELECT k, w FROM d) USING (k) GROUP BY k),
 x AS (SELECT k, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
 v AS (SELECT k, i, x, lead(x) OVER y AS x2, lead(x, 2) OVER y AS x3 FROM x WINDOW y AS (PARTITION BY k ORDER BY i)),
 twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, x, x2, x3) AS n FROM v WHERE x3 IS NOT NULL) WHERE n > 1),
