@@ -18,7 +18,7 @@ from .functions import journald as J
 from .functions import vectors as V
 from .operators import dedup, detect, graph, noise, predicates, validate
 from .operators import templates as tpl
-from .plans import backfill, ingest, query, reports, retention, search
+from .plans import backfill, ingest, maintenance, query, reports, retention, search
 from .schemas import EVENT_COLUMNS, LOG_EVENTS, LOG_TEMPLATES, conform, write_present
 from .session import materialise, shared_dir, spread, tune
 from .sources import adapters, deadletter, journald
@@ -555,6 +555,46 @@ def purge_store(spark, folder):
     return left.withColumn("templates", fresh.scalar())
 
 
+@query_of
+def stored_retention_report(spark, folder):
+    """The dry run on a store: one time column and the stored counts are read, no rule runs."""
+    store = LogStore(spark, shared_dir(spark, "reported-store"))
+    ingest.ingest(shipped_logs(spark, folder), store, "load")
+    return retention.purge(store, AS_OF, 10, dry_run=True)
+
+
+@query_of
+def stored_query_logs(spark, folder):
+    """Filtered page of a stored table: days and row groups outside of the filters are not read."""
+    store = LogStore(spark, shared_dir(spark, "queried-store"))
+    ingest.ingest(materialise(spread(logs(spark, folder)), "shipped-logs"), store, "load")
+    return query.query_logs(
+        store.events(), service="svc-3.service", level="ERROR", host="node-1",
+        start="2024-01-02 00:00:00", end="2024-01-28 00:00:00", limit=50, offset=5,
+    )
+
+
+@query_of
+def merge_day_files(spark, folder):
+    """Three batches over the same days; days that are over are merged, and a batch that is run again adds nothing."""
+    store = LogStore(spark, shared_dir(spark, "merged-store"))
+    shipped = materialise(spread(logs(spark, folder)), "shipped-logs")
+    batches = [shipped.filter(F.col("id") % 3 == n) for n in range(3)]
+    for n, batch in enumerate(batches):
+        ingest.ingest(batch, store, f"b{n}")
+    before = maintenance.day_files(store)
+    maintenance.maintain(store, datetime.fromisoformat(HALF).date())
+    ingest.ingest(batches[1], store, "b1")
+    after = maintenance.day_files(store)
+    stored = store.events().groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("min_id"), F.sum("id").alias("ids")
+    )
+    folders = before.select("event_date", F.col("folders").alias("folders_before")).join(
+        after.select("event_date", F.col("folders").alias("folders_after")), "event_date"
+    )
+    return stored.join(folders, "event_date").withColumn("counted", F.lit(_counted(store)))
+
+
 @query_of
 def evolve_schema(spark, folder):
     """Additive migration and its rollback."""

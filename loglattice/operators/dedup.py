@@ -38,18 +38,21 @@ def batch_days(events: DataFrame) -> DataFrame:
 
 
 def not_stored(
-    new: DataFrame, stored: DataFrame, days: DataFrame | None = None, few_keys: DataFrame | None = None
+    new: DataFrame, stored: DataFrame, days: DataFrame | None = None, few_keys: DataFrame | None = None, reduced: bool = False
 ) -> DataFrame:
     """Records whose hash is not stored yet.
 
     The hash covers the timestamp, so a duplicate can only sit in the same day: the stored side
-    is first reduced to the days of the batch (dynamic partition pruning on event_date). For a
+    is first reduced to the days of the batch (dynamic partition pruning on event_date), unless
+    it is `reduced` already. For a
     batch checked to be small, `few_keys` holds its keys: they are sent to the stored hashes,
     which are then read but not shuffled.
     """
-    days = batch_days(new) if days is None else days
-    # one row per calendar day: bounded by the calendar, not by the data
-    seen = stored.join(F.broadcast(days), "event_date", "left_semi").select("event_date", "log_hash")
+    if not reduced:
+        days = batch_days(new) if days is None else days
+        # one row per calendar day: bounded by the calendar, not by the data
+        stored = stored.join(F.broadcast(days), "event_date", "left_semi")
+    seen = stored.select("event_date", "log_hash")
     if few_keys is not None:
         keys = few_keys.select("event_date", "log_hash")
         seen = seen.join(F.broadcast(keys), ["event_date", "log_hash"], "left_semi")

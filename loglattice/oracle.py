@@ -380,6 +380,18 @@ def statements() -> dict[str, str]:
     s["fresh_templates"] = f"""WITH {TA}, {dimension('d', 't')} SELECT template_hash, last_seen FROM d WHERE last_seen >= {CUTOFF_1}"""
     s["purge_store"] = f"""WITH {TA}, {HASHED}, {dimension('d', 't')} SELECT count(DISTINCT log_hash) AS events, min(timestamp) AS oldest,
       (SELECT count(*) FROM d WHERE last_seen >= {CUTOFF_10}) AS templates FROM hashed WHERE timestamp >= {CUTOFF_10}"""
+    s["stored_retention_report"] = f"""WITH {TA}, {HASHED}, {dimension('d', 't')} SELECT count(DISTINCT log_hash) AS total_logs,
+      min(timestamp) AS oldest_log, max(timestamp) AS newest_log, count(DISTINCT log_hash) FILTER (timestamp < {CUTOFF_10}) AS to_delete,
+      (SELECT count(*) FROM d WHERE last_seen < {CUTOFF_10}) AS stale_templates FROM hashed"""
+    s["stored_query_logs"] = f"""WITH {BASE}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {LOG_HASH} ORDER BY id) AS rn FROM logs) WHERE rn = 1)
+      SELECT {EVENT_COLS} FROM u WHERE service = 'svc-3.service' AND level = 'ERROR'
+      AND host = 'node-1' AND timestamp >= TIMESTAMP '2024-01-02 00:00:00' AND timestamp <= TIMESTAMP '2024-01-28 00:00:00'
+      ORDER BY timestamp DESC, id DESC LIMIT 50 OFFSET 5"""
+    s["merge_day_files"] = f"""WITH {BASE}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {LOG_HASH} ORDER BY id % 3, id) AS rn FROM logs)
+        WHERE rn = 1), f AS (SELECT {DAY} AS event_date, count(*) AS n, min(id) AS min_id, CAST(sum(id) AS BIGINT) AS ids,
+        count(DISTINCT id % 3) AS folders_before, max(timestamp) < {HALF} AS over FROM u GROUP BY ALL)
+      SELECT event_date, n, min_id, ids, folders_before, CASE WHEN over THEN 1 ELSE folders_before END AS folders_after,
+             (SELECT count(*) FROM u) AS counted FROM f"""
     s["evolve_schema"] = f"WITH {BASE} SELECT id, service, CAST(NULL AS VARCHAR) AS template_id FROM logs"
     s["cosine_distances"] = f"SELECT vec_id, round({DIST}, 6) + 0.0 AS distance FROM embeddings"
     s["search_logs"] = f"""WITH {BASE}, h AS (SELECT l.id, service, message, {DIST} AS d FROM logs l

@@ -14,6 +14,7 @@ from ..operators.predicates import orphans
 from ..schemas import check_range
 from ..session import materialise
 from ..sources.tables import COUNTS, TAG, LogStore
+from .maintenance import end_merge
 
 
 def link(events: DataFrame, version: str = DEFAULT_VERSION, up_to_id: Column | None = None) -> DataFrame:
@@ -47,6 +48,7 @@ def backfill_templates(store: LogStore, *, run: str = "backfill", version: str =
     joins the dimension under a tag of its own: counts of events that retention has removed stay as they are. A
     run that died half-way is ended first, from the plan it has left, so nothing is counted twice or missed.
     """
+    end_merge(store)
     if store.open_backfill() is None:
         _plan_backfill(store, run, version, cap)
     mark = store.open_backfill()

@@ -11,7 +11,7 @@ from ..functions.canonical import DEFAULT_VERSION
 from ..operators import dedup, noise, templates, validate
 from ..session import materialise
 from ..sources import deadletter
-from ..sources.tables import TAG, LogStore
+from ..sources.tables import MERGED, TAG, LogStore
 
 
 # a key is a date and 16 characters, so this many take some tens of megabytes
@@ -26,6 +26,7 @@ class IngestResult:
     tag: str
     checked: DataFrame
     config: noise.NoiseConfig | None
+    days: list[str]
 
     def counters(self) -> DataFrame:
         """One row: ingested, duplicates, failed and dropped."""
@@ -36,7 +37,7 @@ class IngestResult:
             F.count_if(is_bad).alias("failed"),
             F.count_if(~is_bad & reason.isNotNull()).alias("dropped"),
         )
-        stored = self.store.events_of(self.tag).agg(F.count(F.lit(1)).alias("ingested"))
+        stored = self.store.events_on(self.days, self.tag).agg(F.count(F.lit(1)).alias("ingested"))
         # two one-row frames side by side
         return seen.withColumn("ingested", stored.scalar()).select(
             "ingested",
@@ -49,17 +50,20 @@ class IngestResult:
 def accept(
     checked: DataFrame,
     stored: DataFrame,
-    days: DataFrame,
+    days: DataFrame | None,
     config: noise.NoiseConfig | None = None,
     version: str = DEFAULT_VERSION,
     few: bool = False,
 ) -> DataFrame:
-    """Valid, not noise, new: linked to its template and ready to append."""
+    """Valid, not noise, new: linked to its template and ready to append.
+
+    `days` prunes the stored side; it is None where `stored` holds the days of the batch only.
+    """
     good = validate.valid(checked)
     if config is not None:
         good = noise.keep(noise.classify(good, config))
     hashed = dedup.with_identity(good)
-    new = dedup.not_stored(dedup.first_of_each(hashed), stored, days, hashed if few else None)
+    new = dedup.not_stored(dedup.first_of_each(hashed), stored, days, hashed if few else None, reduced=days is None)
     # rules run last, on the records that will really be stored
     return templates.with_template(new, version).withColumn("template_id", F.col("template_hash"))
 
@@ -75,18 +79,27 @@ def ingest(
 ) -> IngestResult:
     """Store one batch under `tag`. Running it again with the same input and tag changes nothing.
 
+    Only folders of the batch's own days are listed and read. Counts are its last write: a batch with counts is
+    finished, and its days may be merged. Once they are, it is closed and adds nothing.
+
     Set `few` only for a batch checked to hold at most `FEW_ROWS` records, such as a micro-batch:
     its keys are then broadcast to the stored hashes of its days.
     """
+    if tag.startswith(MERGED):
+        raise ValueError(f"a batch must not be named {tag!r}")
     checked = validate.validate(events)
+    # one name per calendar day of the batch
+    days = [str(r[0]) for r in dedup.batch_days(events).collect()]
+    if store.is_closed(tag):
+        return IngestResult(store, tag, checked, config, days)
     # what an earlier attempt of this very batch wrote does not make its records duplicates
-    stored = store.events().filter(F.col(TAG) != tag)
-    store.write_events(accept(checked, stored, dedup.batch_days(checked), config, version, few), tag)
+    stored = store.events_on(days).filter(F.col(TAG) != tag)
+    store.write_events(accept(checked, stored, None, config, version, few), tag)
+    store.spool(validate.rejected(checked), tag)
     # counts come from the rows as stored: no second run of the rules
-    written = store.events_of(tag).withColumn("template_hash", F.col("template_id"))
+    written = store.events_on(days, tag).withColumn("template_hash", F.col("template_id"))
     store.write_counts(templates.host_counts(written), tag)
-    store.spool(validate.rejected(checked), tag)
-    return IngestResult(store, tag, checked, config)
+    return IngestResult(store, tag, checked, config, days)
 
 
 def replay(store: LogStore, tag: str, **options) -> IngestResult:

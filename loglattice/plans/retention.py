@@ -13,6 +13,7 @@ from ..operators.predicates import expired, instant
 from ..schemas import check_range
 from ..session import materialise
 from ..sources.tables import TAG, LogStore
+from .maintenance import end_merge
 
 DEFAULT_DAYS = 90
 
@@ -60,6 +61,7 @@ def purge(store: LogStore, as_of: datetime, days: int = DEFAULT_DAYS, dry_run: b
     before = materialise(report(store.events(), tpl.roll_up(store.counts()), cutoff), "retention-report")
     if dry_run:
         return before
+    end_merge(store)
     boundary = cutoff.date().isoformat()
     edge_folder = f"{store.events_path}/event_date={boundary}"
     edge_tags = store.children(edge_folder)

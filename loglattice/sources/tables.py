@@ -9,6 +9,8 @@
 * `failed/ingest_tag=T`               batches that were not ingested, whole, with the error; replayed under their tag.
 * `noise_stats/ingest_tag=T`          records per noise rule of each shipped batch.
 * `open_backfill`                     what a backfill that has not ended links: partitions, counts, and a mark.
+* `open_merge`                        the batches of a merge of days that has not ended, and how far it is.
+* `closed/merged_into=M`              batches whose rows have been merged; run again they add nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.canonical import text_hash
 from ..operators import templates as tpl
 from ..schemas import DEAD_LETTER, LOG_EVENTS, VECTOR
 from . import deadletter
@@ -47,6 +50,9 @@ VECTORS = T.StructType(
     ]
 )
 TAG = "ingest_tag"
+# tags of folders that hold the merged rows of several batches; no batch may be named so
+MERGED = "merged-"
+CLOSED = T.StructType([T.StructField(TAG, T.StringType()), T.StructField("merged_into", T.StringType())])
 STATS = T.StructType([T.StructField("drop_reason", T.StringType()), T.StructField("n", T.LongType()), T.StructField(TAG, T.StringType())])
 REPLAYS = T.StructType([T.StructField(TAG, T.StringType()), T.StructField("replayed_by", T.StringType())])
 
@@ -67,6 +73,8 @@ class LogStore:
         self.failed_path = f"{self.root}/failed"
         self.stats_path = f"{self.root}/noise_stats"
         self.backfill_path = f"{self.root}/open_backfill"
+        self.merge_path = f"{self.root}/open_merge"
+        self.closed_path = f"{self.root}/closed"
 
     # ---- file system ---------------------------------------------------------------------------
 
@@ -93,11 +101,53 @@ class LogStore:
 
     def events(self) -> DataFrame:
         """All stored events. The schema is explicit, so columns added later read as null in old files."""
-        return self._read(self.events_path, STORED_EVENTS)
+        return self._once(self._read(self.events_path, STORED_EVENTS))
 
     def events_of(self, tag: str) -> DataFrame:
         return self.events().filter(F.col(TAG) == tag)
 
+    def events_on(self, days: list[str], tag: str | None = None) -> DataFrame:
+        """Events of some days, or those of one batch in them: no folder of another day is listed."""
+        stored = {n.split("=", 1)[1] for n in self.children(self.events_path) if n.startswith("event_date=")}
+        paths = [f"{self.events_path}/event_date={d}" for d in sorted(stored.intersection(days))]
+        if tag is None:
+            return self._once(self.read_folders(paths))
+        own = [f"{p}/{TAG}={tag}" for p in paths]
+        return self.read_folders([p for p in own if self._fs().exists(self._path(p))])
+
+    def folders_of(self, parts: list[tuple[str, str]]) -> list[str]:
+        """Folders of (day, tag) pairs, those that exist."""
+        paths = [f"{self.events_path}/event_date={day}/{TAG}={tag}" for day, tag in parts]
+        return [p for p in paths if self._fs().exists(self._path(p))]
+
+    def read_folders(self, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], STORED_EVENTS)
+        return self.spark.read.schema(STORED_EVENTS).option("basePath", self.events_path).parquet(*paths)
+
+    def merge_state(self) -> str | None:
+        """How far a merge of days that has not ended is: `written` once its folders are complete, `planned` before."""
+        for state in ("written", "planned"):
+            if "_SUCCESS" in self.children(f"{self.merge_path}/{state}"):
+                return state
+        return None
+
+    def _once(self, events: DataFrame) -> DataFrame:
+        """Each row once while a merge is open: from the batches until the merged folders are complete, then from those."""
+        state = self.merge_state()
+        if state is None:
+            return events
+        parts = self.spark.read.parquet(f"{self.merge_path}/parts")
+        if state == "planned":
+            return events.join(parts.select(F.col("merged_into").alias(TAG)).distinct(), TAG, "left_anti").select(events.columns)
+        return events.join(parts.select("event_date", TAG), ["event_date", TAG], "left_anti").select(events.columns)
+
+    def is_closed(self, tag: str) -> bool:
+        """Whether rows of the batch have been merged with those of others."""
+        if not self.children(self.closed_path):
+            return False
+        return self._read(self.closed_path, CLOSED).filter(F.col(TAG) == tag).limit(1).count() > 0
+
     def write_events(self, events: DataFrame, tag: str | None = None) -> None:
         """Replace the (day, tag) partitions present in `events`.
 
@@ -150,6 +200,14 @@ class LogStore:
         done = {r[0] for r in absorbed.collect()} if absorbed is not None else set()
         return [t for t in tags if t not in done]
 
+    def counted_tags(self, tags: set[str]) -> set[str]:
+        """Those of `tags` whose counts are stored, by themselves or in a snapshot: the last thing a batch writes."""
+        names = [n for n in self.children(self.counts_path) if n.startswith(f"{TAG}=")]
+        own = {n.split("=", 1)[1] for n in names if "_SUCCESS" in self.children(f"{self.counts_path}/{n}")}
+        rest = tags - own
+        absorbed = self._snapshot_tags(self.snapshot_version()).filter(F.col(TAG).isin(*rest)).collect() if rest else []
+        return (tags & own) | {r[0] for r in absorbed}
+
     def open_backfill(self):
         """The mark of a backfill that has not ended, or None; it is written after all that belongs to it."""
         path = f"{self.backfill_path}/mark"
@@ -186,14 +244,21 @@ class LogStore:
         fresh = self.spark.createDataFrame([(t,) for t in tags], f"{TAG} string")
         all_tags = self._snapshot_tags(old).unionByName(fresh).distinct()
         all_tags.write.mode("overwrite").parquet(f"{self.snapshot_tags_path}/version={new}")
+        # the one before stays for readers that have listed it
+        for name in self.children(self.snapshots_path):
+            if name.startswith("version=") and int(name.split("=")[1]) < old:
+                self.drop_folder(f"{self.snapshots_path}/{name}")
+                self.drop_folder(f"{self.snapshot_tags_path}/{name}")
         return new
 
     def compact_templates(self) -> int:
         """Fold pending batches into one snapshot, so reading the dimension stays cheap."""
         # listed once: a batch that lands meanwhile stays pending
+        there = {n.split("=", 1)[1] for n in self.children(self.counts_path) if n.startswith(f"{TAG}=")}
         pending = self.pending_tags()
         version = self.write_snapshot(self.counts(pending), pending)
-        for tag in pending:
+        # with those of batches that were run again after their fold
+        for tag in there.union(pending):
             self.drop_folder(f"{self.counts_path}/{TAG}={tag}")
         return version
 
@@ -201,14 +266,41 @@ class LogStore:
 
     def vectors(self, model: str | None = None) -> DataFrame:
         """Vectors of one model or of all, one for each text and model however often it was appended."""
-        found = self._read(self.vectors_path, VECTORS)
+        swapping = not self.children(self.vectors_path) and "_SUCCESS" in self.children(f"{self.vectors_path}_next")
+        found = self._read(f"{self.vectors_path}_next" if swapping else self.vectors_path, VECTORS)
         if model is not None:
             found = found.filter(F.col("embedding_model") == model)
         return found.dropDuplicates(["canon_hash", "embedding_model"])
 
     def append_vectors(self, vectors: DataFrame) -> None:
+        self._end_swap()
         vectors.select(*VECTORS.names).write.mode("append").parquet(self.vectors_path)
 
+    def drop_stale_vectors(self) -> int:
+        """Drop vectors of texts that no template has any more; returns how many were dropped.
+
+        What stays is written beside the table first and then takes its place; a run that died in between is ended
+        by the next writer, and readers find the rows where they are.
+        """
+        self._end_swap()
+        found = self._read(self.vectors_path, VECTORS)
+        texts = self.counts().select(text_hash(F.col("canonical_text")).alias("canon_hash")).distinct()
+        stale = found.join(texts, "canon_hash", "left_anti").count()
+        if stale:
+            found.join(texts, "canon_hash", "left_semi").select(*VECTORS.names).write.mode("overwrite").parquet(f"{self.vectors_path}_next")
+            self.drop_folder(self.vectors_path)
+            self._end_swap()
+        return stale
+
+    def _end_swap(self) -> None:
+        """Vectors written beside the table are the table where it is gone, and left over where it is not."""
+        after = f"{self.vectors_path}_next"
+        if "_SUCCESS" in self.children(after) and not self.children(self.vectors_path):
+            self.drop_folder(self.vectors_path)
+            self._fs().rename(self._path(after), self._path(self.vectors_path))
+        elif self.children(after):
+            self.drop_folder(after)
+
     def spool(self, rejected: DataFrame, tag: str) -> None:
         deadletter.spool(rejected, f"{self.dead_letter_path}/{TAG}={tag}", mode="overwrite")
 

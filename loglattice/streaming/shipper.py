@@ -94,10 +94,11 @@ def ship_events(
     available_now: bool = True,
     interval: str = "10 seconds",
     distinct_for: str | None = None,
+    fold_every: int = 100,
 ) -> StreamingQuery:
     """Ship a stream of events that are already in the event schema, after batches that failed in an earlier run.
 
-    With `distinct_for` copies that arrive within that time of each other are dropped before they are shipped.
+    After every `fold_every` batches their counts are folded, so their folders stay few. With `distinct_for` copies that arrive within that time of each other are dropped before they are shipped.
     """
     recover(store, config=config, version=version)
     if distinct_for is not None:
@@ -107,6 +108,7 @@ def ship_events(
         # the tag repeats with the batch id, so a batch run again replaces its own output
         with kept(batch):
             ship_batch(batch, None, store, f"{name}-{batch_id:012d}", config=config, version=version)
+        fold(store, batch_id, fold_every)
 
     return _start(stream, handle, checkpoint, name, available_now, interval)
 
@@ -124,8 +126,12 @@ def ship_journal(
     available_now: bool = True,
     interval: str = "10 seconds",
     max_files: int | None = None,
+    fold_every: int = 100,
 ) -> StreamingQuery:
-    """Follow a folder of journald JSON files; the checkpoint remembers what has been read."""
+    """Follow a folder of journald JSON files; the checkpoint remembers what has been read.
+
+    After every `fold_every` batches their counts are folded, so their folders stay few.
+    """
     recover(store, config=config, version=version)
     parsed = journald.parse(journald.stream_lines(spark, folder, max_files))
     counted = parsed.observe(
@@ -140,10 +146,17 @@ def ship_journal(
                 journald.to_events(batch, host), journald.quarantined(batch), store, f"{name}-{batch_id:012d}",
                 config=config, version=version,
             )
+        fold(store, batch_id, fold_every)
 
     return _start(counted, handle, checkpoint, name, available_now, interval)
 
 
+def fold(store: LogStore, batch_id: int, every: int) -> None:
+    """Fold batch counts after each `every` batches. A batch that is run again was folded and does not count twice."""
+    if (batch_id + 1) % every == 0:
+        store.compact_templates()
+
+
 def _start(stream, handle, checkpoint, name, available_now, interval) -> StreamingQuery:
     writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(handle)
     # availableNow reads all that is there, the last partial batch included, and stops

@@ -19,6 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test
 STORED = {
     "ingest_twice", "purge_store", "backfill_stored", "stream_ingest", "stream_journal", "backfill_after_purge", "safety_net_stored", "failed_batch_replay",
     "stored_search_logs", "stored_search_templates", "reembed_new_model", "stream_noise_stats", "stream_dedup_late", "stream_cooldown", "catalog_views",
+    "merge_day_files", "stored_query_logs", "stored_retention_report",
 }
 NO_SQL = set()
 

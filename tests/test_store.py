@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import vectors as V
 from loglattice.operators import dedup, noise, templates as tpl, validate
-from loglattice.plans import backfill, ingest, retention, search
+from loglattice.plans import backfill, ingest, maintenance, retention, search
 from loglattice.sources.tables import LogStore
 from loglattice.streaming import shipper
 
@@ -101,6 +101,124 @@ def test_snapshot_folds_batches(store, batch, make_events):
     assert {k: v.event_count for k, v in dimension(store).items()} == before
 
 
+def three_batches(store, make_events, days=3):
+    rows = [{"id": i, "timestamp": at(60 * 8 * i), "message": f"pid={i} up"} for i in range(3 * days)]
+    batches = {f"b{n}": make_events(*rows[n::3]) for n in range(3)}
+    for tag, batch in batches.items():
+        ingest.ingest(batch, store, tag)
+    return batches
+
+
+def contents(store):
+    """Ids, the events counted, and the tags of each day."""
+    ids = sorted(r.id for r in store.events().collect())
+    return ids, store.templates().agg(F.sum("event_count")).first()[0]
+
+
+LATER = datetime(2025, 12, 4).date()
+
+
+def test_days_that_are_over_are_merged(store, make_events):
+    batches = three_batches(store, make_events, days=5)
+    before, full = contents(store), {r.event_date: r.folders for r in maintenance.day_files(store).collect()}
+    merged = sum(n > 1 for d, n in full.items() if d < str(LATER))
+    assert merged == 3 and maintenance.merge_days(store, LATER) == merged
+    after = {r.event_date: (r.folders, r.files) for r in maintenance.day_files(store).collect()}
+    assert contents(store) == before and store.merge_state() is None
+    assert all(after[d] == (1, 1) if d < str(LATER) else after[d][0] == n for d, n in full.items())
+    # a closed batch that is run again adds nothing, before and after its counts are folded
+    for _ in range(2):
+        assert counters(ingest.ingest(batches["b1"], store, "b1"))["failed"] == 0 and contents(store) == before
+        assert maintenance.maintain(store, LATER) == 0
+    # a late batch joins the merged folder; copies of merged rows are found
+    late = make_events({"id": 100, "timestamp": at(5), "message": "late"}, {"id": 101, "timestamp": at(0), "message": "pid=0 up"})
+    assert counters(ingest.ingest(late, store, "late"))["duplicates"] == 1
+    assert maintenance.merge_days(store, LATER) == 1 and contents(store) == (sorted([*before[0], 100]), before[1] + 1)
+    assert retention.purge(store, datetime(2025, 12, 13), 10).first().total_logs == 16
+    with pytest.raises(ValueError):
+        ingest.ingest(late, store, "merged-by-hand")
+
+
+@pytest.mark.parametrize("point", ["_plan", "write_events", "drop_folder", "drop_second"])
+def test_a_merge_that_died_shows_each_row_once_and_is_ended(store, make_events, monkeypatch, point):
+    batches = three_batches(store, make_events)
+    before, dropped = contents(store), []
+    plain = {n: getattr(store, n) for n in ("write_events", "drop_folder")}
+
+    def lost(*args, **kwargs):
+        if point == "write_events":  # some of the folders are there already
+            first = args[0].filter(F.col("event_date") == F.lit("2025-12-01").cast("date"))
+            plain["write_events"](first, *args[1:])
+        if point == "drop_second":
+            dropped.append(args[0])
+            if len(dropped) < 3:
+                return plain["drop_folder"](*args)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        target = {"_plan": (store.spark, "createDataFrame"), "drop_second": (store, "drop_folder")}.get(point, (store, point))
+        patch.setattr(*target, lost)
+        with pytest.raises(RuntimeError):
+            maintenance.merge_days(store, LATER)
+    assert contents(store) == before and store.events_on(["2025-12-01", "2025-12-02"]).count() == 5
+    # batches arrive while the merge is open
+    assert counters(ingest.ingest(batches["b0"], store, "b0"))["failed"] == 0
+    ingest.ingest(make_events({"id": 50, "timestamp": at(7), "message": "new"}), store, "new")
+    want = (sorted([*before[0], 50]), before[1] + 1)
+    assert contents(store) == want
+    maintenance.merge_days(store, LATER)
+    assert contents(store) == want and store.merge_state() is None
+    assert {r.folders for r in maintenance.day_files(store).collect() if r.event_date < str(LATER)} == {1}
+
+
+def test_only_finished_batches_are_merged(store, make_events, monkeypatch):
+    three_batches(store, make_events)
+    open_batch = make_events({"id": 70, "timestamp": at(1), "message": "half"})
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "write_counts", lambda *a: (_ for _ in ()).throw(RuntimeError("full")))
+        shipper.ship_batch(open_batch, None, store, "half", retry_after=0)
+    maintenance.merge_days(store, LATER)
+    assert store.events_of("half").count() == 1
+    assert shipper.recover(store) == ["half"]
+    ids, counted = contents(store)
+    assert counted == len(ids) == 10
+    assert maintenance.merge_days(store, LATER) == 1 and contents(store) == (ids, counted)
+
+
+def test_a_batch_lists_its_own_days_only(store, make_events, monkeypatch):
+    three_batches(store, make_events, days=6)
+    files = store.events_on(["2025-12-02", "2031-01-01"]).inputFiles()
+    assert files and all("event_date=2025-12-02" in f for f in files)
+    assert all("ingest_tag=b1" in f for f in store.events_on(["2025-12-02"], "b1").inputFiles())
+    # ingest never opens the whole table
+    monkeypatch.setattr(store, "events", lambda: (_ for _ in ()).throw(AssertionError("listed all days")))
+    assert counters(ingest.ingest(make_events({"timestamp": at(3)}), store, "next"))["ingested"] == 1
+
+
+def test_stale_vectors_go(store, make_events, monkeypatch):
+    ingest.ingest(make_events({"message": "old text"}, {"message": "new text", "timestamp": at(60 * 24 * 30)}), store, "a")
+    backfill.backfill_vectors(store, V.hashed_bag_of_words(4), "m")
+    retention.purge(store, datetime(2026, 1, 2), 10)
+    with monkeypatch.context() as patch:
+        plain = store.drop_folder
+        patch.setattr(store, "drop_folder", lambda p: plain(p) and (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            store.drop_stale_vectors()
+    assert store.vectors("m").count() == 1  # the table is gone, what stays is beside it
+    assert store.drop_stale_vectors() == 0 and store.vectors("m").count() == 1
+    assert store.templates("m").first().embedding_dim == 4
+
+
+def test_stream_folds_counts(spark, store, make_events, tmp_path):
+    rows = [{"id": i, "timestamp": at(i), "message": f"pid={i} up"} for i in range(6)]
+    for i in range(0, 6, 2):
+        make_events(*rows[i : i + 2]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(make_events({}).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    shipper.ship_events(stream, store, str(tmp_path / "cp"), fold_every=2).awaitTermination()
+    assert len(store.pending_tags()) == 1 and len(store.children(store.counts_path)) == 1
+    assert contents(store) == (list(range(6)), 6)
+
+
 def test_new_and_resolved_templates(make_events):
     first = tpl.with_template(make_events({"message": "pid=1 up"}))
     later = tpl.with_template(make_events({"message": "pid=2 up"}, {"message": "pid=3 down"}))
