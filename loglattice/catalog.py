@@ -252,14 +252,14 @@ def validate_records(spark, folder):
 
 @query_of
 def resolve_templates(spark, folder):
-    events = templated(spark, folder)
+    events = materialise(templated(spark, folder), "templated-logs")  # both sides read what the rules made once
     known = tpl.roll_up(tpl.host_counts(events.filter(F.col("timestamp") < predicates.instant(HALF))))
     return tpl.resolve(events, known).select("id", "template_hash", "template_id")
 
 
 @query_of
 def new_templates(spark, folder):
-    events = templated(spark, folder, all_logs)
+    events = materialise(templated(spark, folder, all_logs), "templated-logs")
     cut = predicates.instant("2024-01-03 00:00:00")
     known = tpl.roll_up(tpl.host_counts(events.filter(F.col("timestamp") < cut)))
     later = tpl.roll_up(tpl.host_counts(events.filter(F.col("timestamp") >= cut)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import DEFAULT_VERSION, canon_hash, canonicalize, text_hash
 from ..functions.hashing import hash_to_id
-from ..schemas import DEFAULT_CHUNK_VERSION
+from ..schemas import DEFAULT_CHUNK_VERSION, check_range
 
 KEYS = ["template_hash", "service", "level", "canonical_text", "canon_version"]
 
@@ -96,7 +96,7 @@ def with_dense_ids(templates: DataFrame, start: int = 0, prefix: int = 3) -> Dat
     The hash is uniform, so its first hex digits cut the table into even pieces: rank inside a
     piece, then add the size of all pieces before it (a table of 16**prefix rows).
     """
-    piece = F.substring("template_hash", 1, prefix)
+    piece = F.substring("template_hash", 1, check_range("prefix", prefix, 1, 4))
     cut = templates.withColumn("_piece", piece)
     sizes = cut.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

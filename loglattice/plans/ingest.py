@@ -20,31 +20,32 @@ FEW_ROWS = 500_000
 
 @dataclass(frozen=True)
 class IngestResult:
-    """Handle on a finished batch; the counters are computed when asked for."""
+    """Handle on a finished batch. What came in was counted while the batch was stored; what is stored is counted when asked for."""
 
     store: LogStore
     tag: str
-    checked: DataFrame
-    config: noise.NoiseConfig | None
     days: list[str]
+    total: int
+    failed: int
+    dropped: int
 
     def counters(self) -> DataFrame:
         """One row: ingested, duplicates, failed and dropped."""
-        reason = noise.drop_reason(self.config) if self.config else F.lit(None).cast("string")
-        is_bad = F.size("errors") > 0
-        seen = self.checked.agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(is_bad).alias("failed"),
-            F.count_if(~is_bad & reason.isNotNull()).alias("dropped"),
-        )
         stored = self.store.events_on(self.days, self.tag).agg(F.count(F.lit(1)).alias("ingested"))
-        # two one-row frames side by side
-        return seen.withColumn("ingested", stored.scalar()).select(
-            "ingested",
-            (F.col("total") - F.col("failed") - F.col("dropped") - F.col("ingested")).alias("duplicates"),
-            "failed",
-            "dropped",
-        )
+        failed, dropped = F.lit(self.failed).cast("long"), F.lit(self.dropped).cast("long")
+        duplicates = F.lit(self.total).cast("long") - failed - dropped - F.col("ingested")
+        return stored.select("ingested", duplicates.alias("duplicates"), failed.alias("failed"), dropped.alias("dropped"))
+
+
+def per_day(checked: DataFrame, config: noise.NoiseConfig | None) -> DataFrame:
+    """(event_date, total, failed, dropped) per calendar day, the date as text; null for records without a time."""
+    reason = noise.drop_reason(config) if config else F.lit(None).cast("string")
+    is_bad = F.size("errors") > 0
+    return checked.groupBy(F.to_date("timestamp").cast("string").alias("event_date")).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(is_bad).alias("failed"),
+        F.count_if(~is_bad & reason.isNotNull()).alias("dropped"),
+    )
 
 
 def accept(
@@ -88,18 +89,23 @@ def ingest(
     if tag.startswith(MERGED):
         raise ValueError(f"a batch must not be named {tag!r}")
     checked = validate.validate(events)
-    # one name per calendar day of the batch
-    days = [str(r[0]) for r in dedup.batch_days(events).collect()]
+    # One pass counts what comes in; one row per calendar day of the batch.
+    seen = per_day(checked, config).collect()
+    days = [r["event_date"] for r in seen if r["event_date"] is not None]
+    total, failed, dropped = (sum(r[c] for r in seen) for c in ("total", "failed", "dropped"))
+    result = IngestResult(store, tag, days, total, failed, dropped)
     if store.is_closed(tag):
-        return IngestResult(store, tag, checked, config, days)
+        return result
     # what an earlier attempt of this very batch wrote does not make its records duplicates
     stored = store.events_on(days).filter(F.col(TAG) != tag)
     store.write_events(accept(checked, stored, None, config, version, few), tag)
-    store.spool(validate.rejected(checked), tag)
+    # the input is read for its rejects only where there are some
+    if failed:
+        store.spool(validate.rejected(checked), tag)
     # counts come from the rows as stored: no second run of the rules
     written = store.events_on(days, tag).withColumn("template_hash", F.col("template_id"))
     store.write_counts(templates.host_counts(written), tag)
-    return IngestResult(store, tag, checked, config, days)
+    return result
 
 
 def replay(store: LogStore, tag: str, **options) -> IngestResult:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,12 +55,40 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the cluster's `spark.checkpoint.dir`, or beside the warehouse, which is shared as well."""
+def working_root(spark: SparkSession) -> str:
+    """Where all that is written between steps lies, and nothing else: `sweep` deletes in there by age."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/loglattice"
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder under the cluster's `spark.checkpoint.dir`, or beside the warehouse, which is shared as well."""
+    return f"{working_root(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def sweep(spark: SparkSession, hours: float) -> int:
+    """Delete working folders in which nothing has been written for `hours`; returns how many.
+
+    A frame reads its working tables whenever it runs, so `hours` must exceed the longest job. A folder's age is that of
+    its newest file, as object stores give folders no time of their own.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(working_root(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    before = (time.time() - hours * 3600) * 1000
+    gone = 0
+    for folder in fs.listStatus(root):
+        files = fs.listFiles(folder.getPath(), True)
+        newest = None
+        while files.hasNext():
+            newest = max(newest or 0, files.next().getModificationTime())
+        if (folder.getModificationTime() if newest is None else newest) < before:
+            gone += bool(fs.delete(folder.getPath(), True))
+    return gone
 
 
 def spread(df: DataFrame) -> DataFrame:

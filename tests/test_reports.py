@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 from datetime import UTC, datetime, timedelta
@@ -11,6 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loglattice import session
 from loglattice.operators import detect, graph, noise
 from loglattice.operators import templates as tpl
 from loglattice.plans import reports
@@ -161,3 +163,40 @@ def test_graph(spark):
     assert graph.upstream(chain, nodes("n0"), 3).count() == 3
     with pytest.raises(ValueError):
         graph.upstream(edges, nodes("web"), 0)
+
+
+def test_blast_radius_of_many_roots(spark):
+    """More roots than a row has bits, cycles, a hub, edges without an end, against a plain walk."""
+    rng = random.Random(5)
+    pairs = {(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(190)} | {(f"n{i}", "hub") for i in range(0, 150, 3)}
+    pairs |= {(f"c{i}", f"c{i + 1}") for i in range(15)}  # deeper than the levels that become one table
+    edges = spark.createDataFrame([*pairs, ("n1", None), (None, "n2")], "src string, dst string")
+    callers = {}
+    for src, dst in pairs:
+        callers.setdefault(dst, set()).add(src)
+    names = sorted({n for p in pairs for n in p}) + ["alone"]
+    expected = {}
+    for root in names:
+        depth, level = {root: 0}, [root]
+        while level:
+            level = sorted({c for n in level for c in callers.get(n, ())} - set(depth))
+            depth |= {c: max(depth.values()) + 1 for c in level}
+        if len(depth) > 1:
+            expected[root] = (len(depth) - 1, max(depth.values()))
+    nodes = spark.createDataFrame([(n,) for n in [*names, "n1", None]], "node string").repartition(3)
+    got = graph.blast_radius(edges, nodes).collect()
+    assert len(got) == len(expected) and {r.root: (r.affected, r.farthest) for r in got} == expected
+    assert {r.root: (r.affected, r.farthest) for r in graph.blast_radius(edges, nodes, 2).collect()} != expected
+    assert graph.blast_radius(edges.limit(0), nodes).count() == 0
+
+
+def test_sweep_deletes_by_age(spark):
+    kept = session.materialise(spark.range(3), "kept")
+    old = session.shared_dir(spark, "old")
+    spark.range(3).write.parquet(old)
+    names = os.listdir(old)
+    for name in names:
+        os.utime(os.path.join(old, name), (1, 1))
+    assert session.sweep(spark, 24) >= 1
+    assert not os.path.exists(old) and kept.count() == 3
+    assert session.sweep(spark, 24) == 0

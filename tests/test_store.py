@@ -52,6 +52,19 @@ def test_ingest_twice_is_once(store, batch):
     assert store.templates().agg(F.sum("event_count")).first()[0] == store.events().count() == 7
 
 
+def test_rejects_are_spooled_only_where_there_are_some(store, batch, monkeypatch):
+    """The counters come from one pass, and asking for them reads stored rows only."""
+    result = ingest.ingest(batch.filter("level <> 'bad'"), store, "clean")
+    assert store.children(store.dead_letter_path) == []
+    monkeypatch.setattr(validate, "validate", None)
+    assert counters(result) == {"ingested": 7, "duplicates": 2, "failed": 0, "dropped": 0}
+
+
+def test_empty_batch(store, batch):
+    assert counters(ingest.ingest(batch.limit(0), store, "none")) == {"ingested": 0, "duplicates": 0, "failed": 0, "dropped": 0}
+    assert store.events().count() == 0
+
+
 def test_retried_batch_changes_nothing(store, batch):
     ingest.ingest(batch, store, "a")
     before = sorted(map(tuple, store.events().select("id", "log_hash", "template_id").collect()))
