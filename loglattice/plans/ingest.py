@@ -20,32 +20,35 @@ FEW_ROWS = 500_000
 
 @dataclass(frozen=True)
 class IngestResult:
-    """Handle on a finished batch. What came in was counted while the batch was stored; what is stored is counted when asked for."""
+    """Handle on a finished batch. Records and rejects were counted while it was stored; the rest is counted when asked for."""
 
     store: LogStore
     tag: str
+    checked: DataFrame
+    config: noise.NoiseConfig | None
     days: list[str]
     total: int
     failed: int
-    dropped: int
 
     def counters(self) -> DataFrame:
         """One row: ingested, duplicates, failed and dropped."""
         stored = self.store.events_on(self.days, self.tag).agg(F.count(F.lit(1)).alias("ingested"))
-        failed, dropped = F.lit(self.failed).cast("long"), F.lit(self.dropped).cast("long")
-        duplicates = F.lit(self.total).cast("long") - failed - dropped - F.col("ingested")
-        return stored.select("ingested", duplicates.alias("duplicates"), failed.alias("failed"), dropped.alias("dropped"))
-
-
-def per_day(checked: DataFrame, config: noise.NoiseConfig | None) -> DataFrame:
-    """(event_date, total, failed, dropped) per calendar day, the date as text; null for records without a time."""
-    reason = noise.drop_reason(config) if config else F.lit(None).cast("string")
-    is_bad = F.size("errors") > 0
-    return checked.groupBy(F.to_date("timestamp").cast("string").alias("event_date")).agg(
+        dropped = F.lit(0).cast("long")
+        if self.config is not None:
+            noisy = validate.valid(self.checked).filter(noise.drop_reason(self.config).isNotNull())
+            dropped = noisy.agg(F.count(F.lit(1)).alias("n")).scalar()
+        failed = F.lit(self.failed).cast("long")
+        return stored.withColumn("failed", failed).withColumn("dropped", dropped).select(
+            "ingested", (F.lit(self.total).cast("long") - F.col("failed") - F.col("dropped") - F.col("ingested")).alias("duplicates"), "failed", "dropped"
+        )
+
+
+def per_day(checked: DataFrame) -> DataFrame:
+    """(event_date, total, failed) per calendar day, the date as text; null for records without a time."""
+    return checked.groupBy(F.to_date("timestamp").alias("day")).agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(is_bad).alias("failed"),
-        F.count_if(~is_bad & reason.isNotNull()).alias("dropped"),
-    )
+        F.count_if(F.size("errors") > 0).alias("failed"),
+    ).select(F.col("day").cast("string").alias("event_date"), "total", "failed")
 
 
 def accept(
@@ -89,11 +92,11 @@ def ingest(
     if tag.startswith(MERGED):
         raise ValueError(f"a batch must not be named {tag!r}")
     checked = validate.validate(events)
-    # One pass counts what comes in; one row per calendar day of the batch.
-    seen = per_day(checked, config).collect()
+    # one row per calendar day of the batch
+    seen = per_day(checked).collect()
     days = [r["event_date"] for r in seen if r["event_date"] is not None]
-    total, failed, dropped = (sum(r[c] for r in seen) for c in ("total", "failed", "dropped"))
-    result = IngestResult(store, tag, days, total, failed, dropped)
+    total, failed = (sum(r[c] for r in seen) for c in ("total", "failed"))
+    result = IngestResult(store, tag, checked, config, days, total, failed)
     if store.is_closed(tag):
         return result
     # what an earlier attempt of this very batch wrote does not make its records duplicates

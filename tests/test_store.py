@@ -53,7 +53,7 @@ def test_ingest_twice_is_once(store, batch):
 
 
 def test_rejects_are_spooled_only_where_there_are_some(store, batch, monkeypatch):
-    """The counters come from one pass, and asking for them reads stored rows only."""
+    """Records and rejects are counted before anything is written, so a clean input is not read for its rejects."""
     result = ingest.ingest(batch.filter("level <> 'bad'"), store, "clean")
     assert store.children(store.dead_letter_path) == []
     monkeypatch.setattr(validate, "validate", None)
