@@ -56,10 +56,9 @@ def accept(
     stored: DataFrame,
     days: DataFrame | None,
     config: noise.NoiseConfig | None = None,
-    version: str = DEFAULT_VERSION,
     few: bool = False,
 ) -> DataFrame:
-    """Valid, not noise, new: linked to its template and ready to append.
+    """Valid, not noise, new: ready to be linked and appended.
 
     `days` prunes the stored side; it is None where `stored` holds the days of the batch only.
     """
@@ -67,9 +66,12 @@ def accept(
     if config is not None:
         good = noise.keep(noise.classify(good, config))
     hashed = dedup.with_identity(good)
-    new = dedup.not_stored(dedup.first_of_each(hashed), stored, days, hashed if few else None, reduced=days is None)
-    # rules run last, on the records that will really be stored
-    return templates.with_template(new, version).withColumn("template_id", F.col("template_hash"))
+    return dedup.not_stored(dedup.first_of_each(hashed), stored, days, hashed if few else None, reduced=days is None)
+
+
+def linked(events: DataFrame, version: str = DEFAULT_VERSION) -> DataFrame:
+    """Events with the template they belong to."""
+    return templates.with_template(events, version).withColumn("template_id", F.col("template_hash"))
 
 
 def ingest(
@@ -101,7 +103,8 @@ def ingest(
         return result
     # what an earlier attempt of this very batch wrote does not make its records duplicates
     stored = store.events_on(days).filter(F.col(TAG) != tag)
-    store.write_events(accept(checked, stored, None, config, version, few), tag)
+    # rules run last, on the records that will really be stored, when these have been laid out: canonical texts are not shuffled
+    store.write_events(accept(checked, stored, None, config, few), tag, lambda rows: linked(rows, version))
     # the input is read for its rejects only where there are some
     if failed:
         store.spool(validate.rejected(checked), tag)

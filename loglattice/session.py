@@ -108,7 +108,7 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Cut lineage with a table in the shared folder, so a lost executor costs a re-read, not a re-run."""
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

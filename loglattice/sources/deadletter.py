@@ -27,7 +27,7 @@ def to_records(rejected: DataFrame) -> DataFrame:
 
 
 def spool(rejected: DataFrame, path: str, mode: str = "append") -> None:
-    to_records(rejected).write.mode(mode).json(path)
+    to_records(rejected).write.mode(mode).option("compression", "gzip").json(path)
 
 
 def read_spool(spark: SparkSession, path: str) -> DataFrame:

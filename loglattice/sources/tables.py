@@ -15,6 +15,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +53,8 @@ VECTORS = T.StructType(
     ]
 )
 TAG = "ingest_tag"
+# of events and counts, which are mostly text
+CODEC = "zstd"
 # tags of folders that hold the merged rows of several batches; no batch may be named so
 MERGED = "merged-"
 CLOSED = T.StructType([T.StructField(TAG, T.StringType()), T.StructField("merged_into", T.StringType())])
@@ -148,24 +153,27 @@ class LogStore:
             return False
         return self._read(self.closed_path, CLOSED).filter(F.col(TAG) == tag).limit(1).count() > 0
 
-    def write_events(self, events: DataFrame, tag: str | None = None) -> None:
-        """Replace the (day, tag) partitions present in `events`.
+    def write_events(
+        self, events: DataFrame, tag: str | None = None, link: Callable[[DataFrame], DataFrame] | None = None
+    ) -> None:
+        """Replace the (day, tag) partitions present in `events`; `link` adds columns of each row as it is written.
 
         Rebalancing by day lets adaptive execution split a busy day and merge quiet ones into
         files of the advisory size; sorting by service and time makes the min/max statistics of
-        the row groups useful to later filters.
+        the row groups useful to later filters. What `link` adds is neither moved nor sorted.
         """
         tagged = events if tag is None else events.withColumn(TAG, F.lit(tag))
-        stored = tagged.select(
+        laid_out = tagged.hint("rebalance", "event_date").sortWithinPartitions("event_date", TAG, "service", "timestamp")
+        rows = laid_out if link is None else link(laid_out)
+        stored = rows.select(
             *[
-                (F.col(f.name) if f.name in tagged.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in STORED_EVENTS
             ]
         )
         (
-            stored.hint("rebalance", "event_date")
-            .sortWithinPartitions("event_date", TAG, "service", "timestamp")
-            .write.mode("overwrite")
+            stored.write.mode("overwrite")
+            .option("compression", CODEC)
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("event_date", TAG)
             .parquet(self.events_path)
@@ -175,7 +183,7 @@ class LogStore:
 
     def write_counts(self, counts: DataFrame, tag: str) -> None:
         path = f"{self.counts_path}/{TAG}={tag}"
-        counts.select(*[F.col(f.name).cast(f.dataType) for f in COUNTS]).write.mode("overwrite").parquet(path)
+        counts.select(*[F.col(f.name).cast(f.dataType) for f in COUNTS]).write.mode("overwrite").option("compression", CODEC).parquet(path)
 
     def snapshot_version(self) -> int:
         """Newest complete snapshot; its tag list is written last and so marks it as complete."""
@@ -215,6 +223,10 @@ class LogStore:
 
     def counts(self, pending: list[str] | None = None) -> DataFrame:
         """Template counts per host over all batches; `pending` is the list of open batches, if it was taken before."""
+        return tpl.merge_counts(self.count_rows(pending))
+
+    def count_rows(self, pending: list[str] | None = None) -> DataFrame:
+        """The same not yet added up: a row per batch, template and host, for those who add up or look up themselves."""
         parts = []
         version = self.snapshot_version()
         if version:
@@ -223,15 +235,13 @@ class LogStore:
         if pending:
             paths = [f"{self.counts_path}/{TAG}={t}" for t in pending]
             parts.append(self.spark.read.schema(COUNTS).parquet(*paths))
-        if not parts:
-            return self.spark.createDataFrame([], COUNTS)
-        return tpl.merge_counts(*parts)
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], COUNTS)
 
     def templates(self, model: str | None = None) -> DataFrame:
         """The dimension, with the vectors of one model; a text it has not embedded yet has a null vector."""
         vectors = self.vectors(model) if model else self.spark.createDataFrame([], VECTORS)
         return (
-            tpl.roll_up(self.counts())
+            tpl.roll_up(self.count_rows())
             .join(vectors, "canon_hash", "left")
             .withColumn("embedding_dim", F.size("embedding_vector"))
         )
@@ -240,7 +250,7 @@ class LogStore:
         """Store folded counts as the next version; `tags` are the batches it accounts for."""
         old = self.snapshot_version()
         new = old + 1
-        counts.select(*COUNTS.names).write.mode("overwrite").parquet(f"{self.snapshots_path}/version={new}")
+        counts.select(*COUNTS.names).write.mode("overwrite").option("compression", CODEC).parquet(f"{self.snapshots_path}/version={new}")
         fresh = self.spark.createDataFrame([(t,) for t in tags], f"{TAG} string")
         all_tags = self._snapshot_tags(old).unionByName(fresh).distinct()
         all_tags.write.mode("overwrite").parquet(f"{self.snapshot_tags_path}/version={new}")
@@ -284,7 +294,7 @@ class LogStore:
         """
         self._end_swap()
         found = self._read(self.vectors_path, VECTORS)
-        texts = self.counts().select(text_hash(F.col("canonical_text")).alias("canon_hash")).distinct()
+        texts = self.count_rows().select(text_hash(F.col("canonical_text")).alias("canon_hash")).distinct()
         stale = found.join(texts, "canon_hash", "left_anti").count()
         if stale:
             found.join(texts, "canon_hash", "left_semi").select(*VECTORS.names).write.mode("overwrite").parquet(f"{self.vectors_path}_next")
