@@ -49,16 +49,23 @@ def merge_counts(*parts: DataFrame) -> DataFrame:
 
 
 def roll_up(counts: DataFrame) -> DataFrame:
-    """From the host grain to one row per template; the host list is as long as the fleet at most."""
+    """From the host grain to one row per template; the host list is as long as the fleet at most.
+
+    The digest of the text stands for it as a key, so the text is a value that is not moved where nobody asks for it.
+    Counts of several batches need not be merged before.
+    """
+    keys = ["canon_hash" if k == "canonical_text" else k for k in KEYS]
     return (
-        counts.groupBy(*KEYS)
+        counts.withColumn("canon_hash", text_hash(F.col("canonical_text")))
+        .groupBy(*keys)
         .agg(
+            F.first("canonical_text").alias("canonical_text"),
             F.sum("event_count").alias("event_count"),
             F.min("first_seen").alias("first_seen"),
             F.max("last_seen").alias("last_seen"),
             F.array_sort(F.collect_set("host")).alias("source_hosts"),
         )
-        .withColumn("canon_hash", text_hash(F.col("canonical_text")))
+        .select(*KEYS, "event_count", "first_seen", "last_seen", "source_hosts", "canon_hash")
         .withColumn("chunk_version", F.lit(DEFAULT_CHUNK_VERSION))
         .withColumn("id", hash_to_id(F.col("template_hash")))
     )

@@ -55,7 +55,7 @@ def backfill_templates(store: LogStore, *, run: str = "backfill", version: str =
     parts = store.spark.read.parquet(f"{store.backfill_path}/parts")
     counts = store.spark.read.schema(COUNTS).parquet(f"{store.backfill_path}/counts")
     limit_id = None if mark["limit_id"] is None else F.lit(mark["limit_id"])
-    known = store.counts([t for t in store.pending_tags() if t != mark["tag"]]).select("template_hash").distinct()
+    known = store.count_rows([t for t in store.pending_tags() if t != mark["tag"]]).select("template_hash").distinct()
     new = counts.select("template_hash").distinct().join(known, "template_hash", "left_anti")
     if mark["processed"]:
         touched = store.events().join(parts.select("event_date", TAG), ["event_date", TAG], "left_semi")
@@ -121,7 +121,7 @@ def backfill_vectors(store: LogStore, embed: Callable[[Column], Column], model:
 
     A run repeated after a failure picks up what is still missing, holes included.
     """
-    store.append_vectors(embed_missing(tpl.roll_up(store.counts()), store.vectors(model), embed, model, tasks))
+    store.append_vectors(embed_missing(tpl.roll_up(store.count_rows()), store.vectors(model), embed, model, tasks))
 
 
 def resume_points(events: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def purge(store: LogStore, as_of: datetime, days: int = DEFAULT_DAYS, dry_run: b
     cutoff falls into is rewritten.
     """
     cutoff = cutoff_for(as_of, days)
-    before = materialise(report(store.events(), tpl.roll_up(store.counts()), cutoff), "retention-report")
+    before = materialise(report(store.events(), tpl.roll_up(store.count_rows()), cutoff), "retention-report")
     if dry_run:
         return before
     end_merge(store)
@@ -80,13 +80,17 @@ def purge(store: LogStore, as_of: datetime, days: int = DEFAULT_DAYS, dry_run: b
 
 
 def purge_templates(store: LogStore, cutoff: datetime) -> None:
-    """New snapshot without templates last seen before the cutoff."""
+    """New snapshot without templates last seen before the cutoff.
+
+    Counts are added up after the join, on whose key they lie together already.
+    """
     pending = store.pending_tags()
-    counts = store.counts(pending)
+    counts = store.count_rows(pending)
     fresh = fresh_templates(
         counts.groupBy("template_hash").agg(F.max("last_seen").alias("last_seen")), cutoff
     )
-    store.write_snapshot(counts.join(fresh.select("template_hash"), "template_hash", "left_semi"), pending)
+    kept = counts.join(fresh.select("template_hash"), "template_hash", "left_semi")
+    store.write_snapshot(tpl.merge_counts(kept), pending)
 
 
 def add_columns(df: DataFrame, fields: dict[str, T.DataType]) -> DataFrame:

@@ -58,3 +58,37 @@ def test_a_failed_batch_is_kept_compressed(spark, make_events, tmp_path):
     assert files and all(f.endswith(".json.gz") for f in files)
     again = deadletter.unpack(store.failed_batch("t")).select(events.columns)
     assert again.exceptAll(events).count() == 0 and again.count() == 50
+
+
+def test_counting_templates_moves_no_text(spark, make_events):
+    counts = tpl.host_counts(tpl.with_template(lines(make_events, 20))).localCheckpoint()
+    rolled = tpl.roll_up(counts.unionByName(counts))
+    exchanges = [p for p in plan_of(rolled.agg(F.count(F.lit(1)))).split("\n\n") if "hashpartitioning" in p]
+    assert exchanges and not any("canonical_text" in p for p in exchanges)
+    once = tpl.roll_up(counts).withColumn("event_count", F.col("event_count") * 2)
+    assert sorted(map(str, rolled.collect())) == sorted(map(str, once.collect()))
+
+
+def test_retention_moves_counts_once(spark, make_events, tmp_path, monkeypatch):
+    store = LogStore(spark, str(tmp_path / "store"))
+    for n, days in enumerate((0, 20, 40)):
+        row = {"timestamp": START + timedelta(days=days), "host": f"h{n}"}
+        ingest.ingest(make_events({**row, "message": "always"}, {**row, "message": f"only {'abc'[n]}"}), store, f"b{n}")
+    plans = []
+    plain = LogStore.write_snapshot
+
+    def spy(store, counts, tags):
+        plans.append(plan_of(counts))
+        return plain(store, counts, tags)
+
+    monkeypatch.setattr(LogStore, "write_snapshot", spy)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        retention.purge_templates(store, (START + timedelta(days=10)).replace(tzinfo=None))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moves = [p for p in plans[0].split("\n\n") if "hashpartitioning" in p and "canonical_text" in p]
+    assert len(moves) == 1
+    left = {r.canonical_text: (r.event_count, r.source_hosts) for r in store.templates().collect()}
+    assert left == {"always": (3, ["h0", "h1", "h2"]), "only b": (1, ["h1"]), "only c": (1, ["h2"])}
