@@ -419,7 +419,7 @@ def backfill_stored(spark, folder):
     """A store with unlinked rows is backfilled; the run metrics and the repaired dimension agree."""
     store = legacy_store(spark, folder)
     metrics = backfill.backfill_templates(store)
-    total = tpl.roll_up(store.counts()).agg(F.sum("event_count").alias("n"))
+    total = tpl.roll_up(store.count_rows()).agg(F.sum("event_count").alias("n"))
     return metrics.withColumn("counted_events", total.scalar())
 
 
@@ -438,7 +438,7 @@ def legacy_store(spark, folder) -> LogStore:
 
 
 def _counted(store: LogStore) -> int:
-    return store.counts().agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("n")).first()["n"]
+    return store.count_rows().agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("n")).first()["n"]
 
 
 @query_of
@@ -551,7 +551,7 @@ def purge_store(spark, folder):
     ingest.ingest(shipped_logs(spark, folder), store, "load")
     retention.purge(store, AS_OF, 10)
     left = store.events().agg(F.count(F.lit(1)).alias("events"), F.min("timestamp").alias("oldest"))
-    fresh = tpl.roll_up(store.counts()).agg(F.count(F.lit(1)).alias("n"))
+    fresh = tpl.roll_up(store.count_rows()).agg(F.count(F.lit(1)).alias("n"))
     return left.withColumn("templates", fresh.scalar())
 
 
