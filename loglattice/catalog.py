@@ -735,15 +735,34 @@ def stream_journal(spark, folder):
 
 
 def in_order(df: DataFrame, cuts: list[str]) -> tuple[DataFrame, str]:
-    """A stream of rows that arrive file by file in order of time, one file a slice, and its folder."""
-    spark, source = df.sparkSession, shared_dir(df.sparkSession, "slices")
+    """A stream of rows that arrive slice by slice in order of time, and its folder."""
     bounds = [None, *cuts, None]
+    parts = []
     for low, high in zip(bounds, bounds[1:], strict=False):
         part = df
         part = part if low is None else part.filter(F.col("timestamp") >= predicates.instant(low))
         part = part if high is None else part.filter(F.col("timestamp") < predicates.instant(high))
-        part.coalesce(1).write.mode("append").parquet(source)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source), source
+        parts.append(part)
+    source, files = slices(parts)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(source), source
+
+
+def slices(parts: list[DataFrame]) -> tuple[str, int]:
+    """Write each frame as the same number of files, one after the other; returns the folder and that number.
+
+    A file per core, so that slices are written and read by all; a single one where rows are so few that a file would be missing.
+    """
+    spark = parts[0].sparkSession
+    for files in dict.fromkeys((spark.sparkContext.defaultParallelism, 1)):
+        source, there = shared_dir(spark, "slices"), 0
+        for n, part in enumerate(parts, 1):
+            part.repartition(files, *part.columns).write.mode("append").parquet(source)
+            there = len([f for f in LogStore(spark, source).children(source) if f.endswith(".parquet")])
+            if there < n * files:
+                break
+        if there == len(parts) * files:
+            break
+    return source, files
 
 
 @query_of
@@ -776,12 +795,10 @@ def stream_dedup_late(spark, folder):
     events = logs(spark, folder).select(*EVENT_COLUMNS)
     early = events.filter(F.col("timestamp") < predicates.instant(HALF))
     late = events.filter(F.col("timestamp") >= predicates.instant(HALF))
-    source = shared_dir(spark, "copies")
-    early.unionByName(early.filter("id % 2 = 0")).coalesce(1).write.parquet(source)
-    late.unionByName(early.filter("id % 3 = 0")).coalesce(1).write.mode("append").parquet(source)
+    source, files = slices([early.unionByName(early.filter("id % 2 = 0")), late.unionByName(early.filter("id % 3 = 0"))])
     store = LogStore(spark, shared_dir(spark, "copies-store"))
     for name in ("first", "second"):
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(source)
         shipper.ship_events(stream, store, shared_dir(spark, "copies-checkpoint"), name=name, distinct_for="1 hour").awaitTermination()
     run = F.substring_index("ingest_tag", "-", 1).alias("run")
     passed = store.stats().groupBy(run).agg(F.sum("n").alias("passed"))

@@ -92,3 +92,15 @@ def test_retention_moves_counts_once(spark, make_events, tmp_path, monkeypatch):
     assert len(moves) == 1
     left = {r.canonical_text: (r.event_count, r.source_hosts) for r in store.templates().collect()}
     assert left == {"always": (3, ["h0", "h1", "h2"]), "only b": (1, ["h1"]), "only c": (1, ["h2"])}
+
+
+def test_a_slice_is_written_by_all_cores_and_arrives_as_one_batch(spark, make_events, tmp_path):
+    stream, folder = catalog.in_order(lines(make_events, 300), ["2024-01-01 01:40:00", "2024-01-01 03:20:00"])
+    files = [f for f in LogStore(spark, folder).children(folder) if f.endswith(".parquet")]
+    assert len(files) == 3 * spark.sparkContext.defaultParallelism
+    assert streamed(spark, stream, tmp_path / "cp") == [(100, 0, 99), (100, 100, 199), (100, 200, 299)]
+
+
+def test_slices_of_few_rows_are_still_a_batch_each(spark, make_events, tmp_path):
+    stream, _ = catalog.in_order(lines(make_events, 3), ["2024-01-01 00:01:00", "2024-01-01 00:02:00"])
+    assert streamed(spark, stream, tmp_path / "cp") == [(1, 0, 0), (1, 1, 1), (1, 2, 2)]
