@@ -25,11 +25,19 @@ log = logging.getLogger(__name__)
 
 @contextmanager
 def kept(batch: DataFrame):
-    """Read the source of a micro-batch once; it spills to disk and is read again if an executor is lost."""
+    """Read the source of a micro-batch once; it spills to disk and is read again if an executor is lost.
+
+    A stream with state runs without adaptive execution, which must not change how its state is spread. What is done
+    with a batch that has left it may adapt: else each day would be written by every task.
+    """
+    conf = batch.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
     batch.persist(StorageLevel.MEMORY_AND_DISK)
+    conf.set("spark.sql.adaptive.enabled", "true")
     try:
         yield
     finally:
+        conf.set("spark.sql.adaptive.enabled", before)
         batch.unpersist()
 
 

@@ -104,3 +104,13 @@ def test_a_slice_is_written_by_all_cores_and_arrives_as_one_batch(spark, make_ev
 def test_slices_of_few_rows_are_still_a_batch_each(spark, make_events, tmp_path):
     stream, _ = catalog.in_order(lines(make_events, 3), ["2024-01-01 00:01:00", "2024-01-01 00:02:00"])
     assert streamed(spark, stream, tmp_path / "cp") == [(1, 0, 0), (1, 1, 1), (1, 2, 2)]
+
+
+def test_a_batch_of_a_stream_with_state_is_laid_out_by_day(spark, make_events, tmp_path):
+    events, source = lines(make_events, 400), str(tmp_path / "in")
+    events.write.parquet(source)
+    store = LogStore(spark, str(tmp_path / "store"))
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    shipper.ship_events(stream, store, str(tmp_path / "cp"), distinct_for="1 hour").awaitTermination()
+    assert store.events().count() == 400
+    assert [r.files for r in maintenance.day_files(store).collect()] == [1]
